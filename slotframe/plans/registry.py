@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from slotframe.plans import graph_queries, key_queries, log_queries, scalar_queries
+from slotframe.plans.register import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "graph_queries", "key_queries", "log_queries", "scalar_queries"]
