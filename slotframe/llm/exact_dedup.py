@@ -43,8 +43,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
         return [F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("_k"), doc_id.isNull().alias("_null"), sha.alias("_sha")]
 
     keep = exact_dedup(docs).filter("kept").select(*keys(F.col("doc_id"), F.col("text_sha256")))
-    rows = docs.select("*", *keys(docs["doc_id"], F.sha2(normalised(docs["text"]), 256)))
-    return rows.join(keep.distinct(), ["_k", "_null", "_sha"]).dropDuplicates(["_k", "_null", "_sha"]).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), *keys(docs["doc_id"], F.sha2(normalised(docs["text"]), 256)))
+    return rows.join(keep.distinct(), ["_k", "_null", "_sha"]).dropDuplicates(["_k", "_null", "_sha"]).select("row.*")
 
 
 ORACLE = """

@@ -146,5 +146,6 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     times = F.col("_taken") / F.col("_size")
     chance = F.pmod(F.xxhash64(F.lit(mix.seed), F.lit("copy"), "_id"), F.lit(1 << 20)) / float(1 << 20)
     takes = takes.withColumn("_times", (F.floor(times) + F.when(chance < times - F.floor(times), 1).otherwise(0)).cast("int")).filter("_times > 0")
-    met = docs.join(takes, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (words(docs["text"]) == F.col("_size")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("_doc"), words(docs["text"]).alias("_words"))
+    met = rows.join(takes, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")

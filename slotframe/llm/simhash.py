@@ -206,4 +206,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
         return [F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("_k"), doc_id.isNull().alias("_null")]
 
     keep = near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*keys(F.col("doc_id"))).distinct()
-    return docs.select("*", *keys(docs["doc_id"])).join(keep, ["_k", "_null"]).dropDuplicates(["_k", "_null"]).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), *keys(docs["doc_id"]))
+    return rows.join(keep, ["_k", "_null"]).dropDuplicates(["_k", "_null"]).select("row.*")

@@ -146,7 +146,9 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [FilePartition(f"{self.path}/{x['name']}") for x in files.read_manifest(self.path)]
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         schema = pa.schema([(n, t) for n, t in (("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()))])
         store, at = files.resolve(partition.path)
         rows: list[dict[str, Any]] = []
