@@ -25,19 +25,38 @@ def is_empty(lo: Column, hi: Column) -> Column:
     return lo >= hi
 
 
-def runs(updates: DataFrame) -> DataFrame:
+#: Offsets that one task sweeps together. Ranges are cut at its multiples, so a map with most of the updates is spread.
+CELL = 4096
+
+
+def cells(ranges: DataFrame, lo: str = "lo", hi: str = "hi", cell: int = CELL) -> DataFrame:
+    """Non-empty ranges cut at multiples of ``cell``: the same columns, clipped, and ``cell``."""
+    spans = F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell))
+    cut = ranges.filter(F.col(lo) < F.col(hi)).withColumn("cell", F.explode(spans))
+    return cut.withColumn(lo, F.greatest(F.col(lo), F.col("cell") * cell)).withColumn(hi, F.least(F.col(hi), (F.col("cell") + 1) * cell))
+
+
+def runs(updates: DataFrame, cell: int = CELL) -> DataFrame:
     """map_key, lo, hi, slot: at each offset the highest slot that wrote it, equal neighbours merged.
 
-    A sweep over boundaries: updates are cut only at the boundaries of their own map, so the work follows the number of
-    overlaps, not the width of the domain.
+    A sweep over boundaries, cell by cell: an update is cut only at the boundaries in the cells that it covers, and
+    equal updates are folded first. Runs that go on in the next cell are joined at the end.
     """
-    cuts = updates.select("map_key", F.col("lo").alias("at")).union(updates.select("map_key", F.col("hi"))).distinct()
-    steps = cuts.withColumn("next", F.lead("at").over(Window.partitionBy("map_key").orderBy("at"))).filter("next IS NOT NULL")
-    covered = steps.join(updates, "map_key").filter("lo <= at AND at < hi").groupBy("map_key", "at", "next").agg(F.max("slot").alias("slot"))
-    w = Window.partitionBy("map_key").orderBy("at")
-    new = F.when((F.lag("slot").over(w) == F.col("slot")) & (F.lag("next").over(w) == F.col("at")), 0).otherwise(1)
-    marked = covered.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return marked.groupBy("map_key", "run").agg(F.min("at").alias("lo"), F.max("next").alias("hi"), F.first("slot").alias("slot")).drop("run")
+    parts = cells(updates.groupBy("map_key", "lo", "hi").agg(F.max("slot").alias("slot")), cell=cell)
+    parts = parts.groupBy("map_key", "cell", "lo", "hi").agg(F.max("slot").alias("slot"))
+    cuts = parts.select("map_key", "cell", F.col("lo").alias("at")).union(parts.select("map_key", "cell", "hi")).distinct()
+    steps = cuts.withColumn("next", F.lead("at").over(Window.partitionBy("map_key", "cell").orderBy("at"))).filter("next IS NOT NULL")
+    covered = steps.join(parts, ["map_key", "cell"]).filter("lo <= at AND at < hi").groupBy("map_key", "cell", "at", "next").agg(F.max("slot").alias("slot"))
+    inside = _merged(covered.select("map_key", "cell", F.col("at").alias("lo"), F.col("next").alias("hi"), "slot"), ("map_key", "cell"))
+    return _merged(inside.drop("cell"), ("map_key",))
+
+
+def _merged(pieces: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Pieces that touch and have one slot, joined."""
+    w = Window.partitionBy(*keys).orderBy("lo")
+    new = F.when((F.lag("slot").over(w) == F.col("slot")) & (F.lag("hi").over(w) == F.col("lo")), 0).otherwise(1)
+    marked = pieces.withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    return marked.groupBy(*keys, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("slot").alias("slot")).drop("run")
 
 
 def dense(merged: DataFrame, size: int) -> DataFrame:
@@ -47,10 +66,15 @@ def dense(merged: DataFrame, size: int) -> DataFrame:
     return keys.join(each, ["map_key", "at"], "left").select("map_key", "at", F.coalesce("slot", F.lit(0)).cast("long").alias("slot"))
 
 
-def lookup(merged: DataFrame, queries: DataFrame) -> DataFrame:
-    """Runs that meet a query range (q_lo, q_hi) of the same map, clipped to it."""
-    met = merged.join(queries, "map_key").filter("lo < q_hi AND q_lo < hi")
-    return met.select("map_key", "q_lo", "q_hi", F.greatest("lo", "q_lo").alias("lo"), F.least("hi", "q_hi").alias("hi"), "slot")
+def lookup(merged: DataFrame, queries: DataFrame, cell: int = CELL) -> DataFrame:
+    """Runs that meet a query range (q_lo, q_hi) of the same map, clipped to it.
+
+    Both sides are cut into cells, so that the join has the cell as a key; the pieces of a run are then joined.
+    """
+    asked = cells(queries.withColumn("_lo", F.col("q_lo")).withColumn("_hi", F.col("q_hi")), "_lo", "_hi", cell)
+    met = cells(merged, cell=cell).join(asked, ["map_key", "cell"]).filter("lo < _hi AND _lo < hi")
+    pieces = met.select("map_key", "q_lo", "q_hi", F.greatest("lo", "_lo").alias("lo"), F.least("hi", "_hi").alias("hi"), "slot")
+    return _merged(pieces.distinct(), ("map_key", "q_lo", "q_hi"))
 
 
 def hull(ranges: DataFrame, *keys: str) -> DataFrame:

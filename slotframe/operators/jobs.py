@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotframe.operators.log import running
+
 
 def linked(log: DataFrame) -> DataFrame:
     """Prepares, commits and rollbacks with prepare_slot: their own seq, or that of the user's latest prepare before."""
     own = F.when(F.col("kind") == "prepare", F.col("seq"))
-    w = Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = log.filter(F.col("kind").isin("prepare", "commit", "rollback"))
-    return rows.withColumn("prepare_slot", F.last(own, ignorenulls=True).over(w)).filter("prepare_slot IS NOT NULL")
+    return running(rows, ("user_id",), "seq", own, "last", "prepare_slot").filter("prepare_slot IS NOT NULL")
 
 
 def pending(jobs: DataFrame) -> DataFrame:
@@ -51,10 +52,10 @@ def exactly_once(updates: DataFrame) -> DataFrame:
 
     ``updates``: arrival, client, user_slot, attached. Equal slots change nothing; clients not attached are refused.
     """
-    w = Window.partitionBy("client").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("attached"), F.col("user_slot"))).over(w)
+    rows = running(updates, ("client",), "arrival", F.when(F.col("attached"), F.col("user_slot")), "max", "_last", inclusive=False)
+    last = F.col("_last")
     status = F.when(~F.col("attached"), "not_attached").when(last.isNull() | (last < F.col("user_slot")), "applied").otherwise("no_change")
-    return updates.select("arrival", "client", "user_slot", status.alias("status"))
+    return rows.select("arrival", "client", "user_slot", status.alias("status"))
 
 
 def attachments(events: DataFrame) -> DataFrame:
@@ -77,9 +78,8 @@ def latest(rows: DataFrame, keys: list[str], order: str | Column, *columns: str)
 
 def previous_user_slot(jobs: DataFrame) -> DataFrame:
     """Each user's prepares with the prepare before, which must be durable first."""
-    w = Window.partitionBy("user_id").orderBy("prepare_slot")
     prepares = jobs.filter("kind = 'prepare'").select("user_id", "prepare_slot")
-    return prepares.withColumn("prev_user_slot", F.lag("prepare_slot").over(w))
+    return running(prepares, ("user_id",), "prepare_slot", F.col("prepare_slot"), "last", "prev_user_slot", inclusive=False)
 
 
 def locked_lower_bound(locks: DataFrame) -> DataFrame:

@@ -12,19 +12,30 @@ CHUNK = 65536
 USER_KINDS = ("raw", "commit")
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str, keys: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
-    """Add ``out``, the sum of ``value`` over rows up to this one by ``order``.
+def running(df: DataFrame, keys: tuple[str, ...], order: str, value: Column, how: str, out: str, inclusive: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """Add ``out``: the sum, max or last non-null ``value`` of rows of equal ``keys`` up to this one by ``order``.
 
-    Two passes: sums within chunks of the order, and the sum of all chunks before. Only a row a chunk meets in one
-    task, so a log of any length is added up in parallel.
+    Two passes: within chunks of the order, and over all chunks before. One task meets at most a chunk of rows of a
+    key, or one row for each of its chunks, so neither a long log nor a key with most of the rows is a bottleneck.
     """
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    fold = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    whole = {"sum": F.sum("_v"), "max": F.max("_v"), "last": F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order)))}[how]
+    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumn("_v", value)
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     outer = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
-    before = sums.select(*keys, "_chunk", F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_before"))
-    rows = cut.withColumn("_in", F.sum(value).over(inner)).join(before, [*keys, "_chunk"])
-    return rows.withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_chunk", "_in", "_before")
+    before = cut.groupBy(*keys, "_chunk").agg(whole.alias("_c")).select(*keys, "_chunk", fold("_c").over(outer).alias("_before"))
+    rows = cut.withColumn("_in", fold("_v").over(inner)).join(before, [*keys, "_chunk"])
+    inside, carried = F.col("_in"), F.col("_before")
+    if how == "sum":
+        both = F.coalesce(inside, F.lit(0)) + F.coalesce(carried, F.lit(0))
+    else:
+        both = F.greatest(inside, carried) if how == "max" else F.coalesce(inside, carried)
+    return rows.withColumn(out, both).drop("_chunk", "_v", "_in", "_before")
+
+
+def running_total(df: DataFrame, order: str, value: str, out: str, keys: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
+    """Add ``out``, the sum of ``value`` over rows up to this one by ``order``."""
+    return running(df, keys, order, F.col(value), "sum", out, chunk=chunk).withColumn(out, F.col(out).cast("long"))
 
 
 def frame(log: DataFrame) -> DataFrame:

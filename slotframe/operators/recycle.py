@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotframe.operators.log import running
+
 BATCH_SIZE = 24
 
 
@@ -33,7 +35,5 @@ def in_flight(rows: DataFrame, commits: DataFrame) -> DataFrame:
 
 def accepted(requests: DataFrame) -> DataFrame:
     """Requests above all that came before in (trim_slot, page_index); others are repeats. ``requests`` have an arrival."""
-    w = Window.partitionBy("volume").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max(F.struct("trim_slot", "page_index")).over(w)
-    rows = requests.withColumn("_best", best)
+    rows = running(requests, ("volume",), "arrival", F.struct("trim_slot", "page_index"), "max", "_best", inclusive=False)
     return rows.filter(F.col("_best").isNull() | (F.struct("trim_slot", "page_index") > F.col("_best"))).drop("_best")

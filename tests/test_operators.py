@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from slotframe.operators import bloom, graph, intervals, jobs, keys, log, recycle
@@ -27,14 +29,15 @@ def test_empty_log(spark):
 
 
 def test_unknown_tag_fails(spark):
-    import pytest
+
 
     bad = spark.createDataFrame([(0, "?", None, 1, "", 1)], "seq long, kind string, kind_tag int, user_id long, body string, body_size long")
     with pytest.raises(Exception, match="kBadPackedVariant"):
         log.by_kind(bad).collect()
 
 
-def test_interval_map_against_dense(spark):
+@pytest.mark.parametrize("cell", [4, 4096])
+def test_interval_map_against_dense(spark, cell):
     r = random.Random(13)
     updates, size = [], 29
     dense = {k: [0] * size for k in range(5)}
@@ -44,7 +47,7 @@ def test_interval_map_against_dense(spark):
         updates.append((k, lo, hi, slot))
         for i in range(lo, hi):
             dense[k][i] = max(dense[k][i], slot)
-    runs = intervals.runs(spark.createDataFrame(updates, "map_key long, lo long, hi long, slot long"))
+    runs = intervals.runs(spark.createDataFrame(updates, "map_key long, lo long, hi long, slot long"), cell)
     got = {k: [0] * size for k in range(5)}
     for x in runs.collect():
         for i in range(x["lo"], x["hi"]):
