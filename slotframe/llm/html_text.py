@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 
 #: Elements whose content is no text.
 SILENT = "script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|title"
-_PARTS = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/]?[a-zA-Z!?](?:[^<>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<[!?/]?[a-zA-Z!?][^>]*(?:>|\Z)", re.S | re.I)
+#: Comments, silent elements, and tags; quoted values may hold a >. Possessive, and values end before a <, so that no
+#: page is scanned over and over.
+_PARTS = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<[!?/]?[a-zA-Z!?](?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+(?:>|\Z)|<[!?/]?[a-zA-Z!?][^>]*+(?:>|\Z)",
+    re.S | re.I,
+)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 

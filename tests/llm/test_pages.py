@@ -146,3 +146,10 @@ def test_unwanted_payloads_are_not_inflated():
     assert list(warc.read_records(io.BytesIO(packed * 3), rejected, True)) == []
     (one,) = warc.read_records(io.BytesIO(packed), warc.Predicates({"warc-target-uri": {"u"}}), False)
     assert one["payload"] is None and one["payload_bytes"] == 1_000_000
+
+
+def test_unclosed_quotes_do_not_stall():
+    page = "<article>" + '<p title="x>word</p>' * 30_000
+    assert main_text(page).count("word") > 0
+    assert main_text("<article>" + "<p x='" * 30_000 + f"><p>{LONG}</p>") is not None
+    assert main_text("<!-" * 30_000 + "<script" * 30_000) is not None
