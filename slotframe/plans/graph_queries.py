@@ -19,6 +19,11 @@ def _pages(spark, d, kind, key, condition=None):
     return (rows.filter(condition) if condition else rows).select(adapters.node(kind, key).alias("page_id"))
 
 
+def _kept_edges(spark, d):
+    """The edges, written once, as every step of a traversal reads them."""
+    return graph.stage(adapters.edges(spark, d))
+
+
 def _roots(spark, d):
     return _pages(spark, d, "orders", "o_orderkey", f"o_orderkey < {ROOTS_BELOW}")
 
@@ -34,12 +39,12 @@ def trace_refs(spark, d):
 
 @query(f"WITH {_REACH} SELECT src, dst FROM edges WHERE src IN (SELECT page_id FROM reach)")
 def trace_refs_recursive(spark, d):
-    return graph.trace(adapters.edges(spark, d), _roots(spark, d)).select("src", "dst")
+    return graph.trace(_kept_edges(spark, d), _roots(spark, d)).select("src", "dst")
 
 
 @query(f"WITH {_REACH} SELECT page_id FROM reach")
 def reachable_pages(spark, d):
-    return graph.reach(adapters.edges(spark, d), _roots(spark, d)).select("page_id")
+    return graph.reach(_kept_edges(spark, d), _roots(spark, d)).select("page_id")
 
 
 @query(f"WITH {EDGES} SELECT {node(6, 'p_partkey')} AS page_id FROM part UNION ALL SELECT {node(1, 'r_regionkey')} FROM region")
@@ -59,7 +64,7 @@ def loading_tracer(spark, d):
 @query(f"""WITH {_REACH} SELECT page_id FROM (SELECT {node(3, 'c_custkey')} AS page_id FROM customer UNION ALL SELECT {node(6, 'p_partkey')} FROM part) WHERE page_id NOT IN (SELECT page_id FROM reach)""")
 def prune_job(spark, d):
     new = _pages(spark, d, "customer", "c_custkey").unionByName(_pages(spark, d, "part", "p_partkey"))
-    return graph.unreachable(new, _roots(spark, d), adapters.edges(spark, d))
+    return graph.unreachable(new, _roots(spark, d), _kept_edges(spark, d))
 
 
 _DELTA = f"""RECURSIVE {EDGES}, np AS (SELECT {node(5, 'o_orderkey')} AS page_id FROM orders WHERE o_orderkey < 200),
@@ -77,7 +82,7 @@ def _deltas(spark, d):
         _pages(spark, d, "orders", "o_orderkey", "o_orderkey < 100"),
         _pages(spark, d, "customer", "c_custkey", "c_custkey % 20 = 1"),
         _pages(spark, d, "orders", "o_orderkey", "o_orderstatus = 'F' AND o_orderkey >= 200"),
-        adapters.edges(spark, d),
+        _kept_edges(spark, d),
     )
 
 
@@ -169,7 +174,7 @@ d2 AS (SELECT dst AS page_id FROM edges WHERE src IN (SELECT page_id FROM d0 UNI
 d3 AS (SELECT dst AS page_id FROM edges WHERE src IN (SELECT page_id FROM d0 UNION SELECT page_id FROM d1 UNION SELECT page_id FROM d2) AND dst NOT IN (SELECT page_id FROM d1 UNION SELECT page_id FROM d2) GROUP BY 1 HAVING count(*) >= (SELECT n FROM refs r WHERE r.dst = edges.dst))
 SELECT page_id, 0 AS depth FROM d0 UNION ALL SELECT page_id, 1 FROM d1 UNION ALL SELECT page_id, 2 FROM d2 UNION ALL SELECT page_id, 3 FROM d3""")
 def recycle_cascade(spark, d):
-    edges = adapters.edges(spark, d)
+    edges = _kept_edges(spark, d)
     counts = edges.groupBy(C("dst").alias("page_id")).agg(F.count(F.lit(1)).alias("refs"))
     return graph.cascade(counts, _pages(spark, d, "orders", "o_orderkey", "o_custkey % 3 = 0 OR o_orderkey % 2 = 0"), edges).select("page_id", "depth")
 
