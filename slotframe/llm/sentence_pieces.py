@@ -15,17 +15,18 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotframe.llm.word_cache import WordCache
+
 SPACE = "▁"
 #: Characters of new words that are indexed at once; words longer than LONG are relaxed one by one.
 INDEX_CHARS, LONG = 1 << 20, 64
-#: Words whose ids a Python worker keeps between batches.
-CACHE_WORDS = 3_000_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 _NONE = np.int64(1) << 40
 
@@ -250,17 +251,16 @@ def segment(units: list[str], m: Model) -> list[bytes]:
     return [packed[a:z] for a, z in zip(cuts, cuts[1:])]
 
 
-_known: dict[str, dict[str, bytes]] = {}
+_caches: dict[str, WordCache] = {}
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text, packed; an empty text has none."""
     m = load(path)
-    known = _known.setdefault(path, {})
-    if len(known) > CACHE_WORDS:
-        known.clear()
+    cache_of = _caches.setdefault(path, WordCache())
+    cache_of.turn()
+    known = cache_of.known
     cut: list[list[str]] = []
-    new: dict[str, None] = {}
     for text in texts:
         marked = text.replace(" ", SPACE)
         if not text:
@@ -272,9 +272,8 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         else:
             parts = marked.split(SPACE)
         cut.append(parts)
-        new.update(dict.fromkeys(p for p in parts if p not in known))
     units, size = [], 0
-    for p in [*new, None]:
+    for p in [*cache_of.missing(chain.from_iterable(cut)), None]:
         if p is None or size + len(p) > INDEX_CHARS and units:
             if units:
                 known.update(zip(units, segment([SPACE + u for u in units], m)))

@@ -124,3 +124,15 @@ def test_bits(n):
     c = Codes.of(code_lengths(np.bincount(ids, minlength=500), 16))
     bits, offsets, _ = encode_bits(ids, c)
     assert decode_bits(bits, offsets, n, BLOCK_IDS, c).tolist() == ids.tolist()
+
+
+def test_words_are_kept_in_two_generations():
+    from slotframe.llm.word_cache import WordCache
+
+    c = WordCache(generation=3)
+    for batch in (["a", "b"], ["c", "d"], ["a", "e"], ["a", "f"], ["g", "h", "i"], ["a"]):
+        c.turn()
+        c.known.update((w, w.encode()) for w in c.missing(batch + batch))
+        assert all(c.known[w] == w.encode() for w in batch)
+        assert len(c.known) <= 3 + len(batch)
+    assert c.missing(["b"]) == ["b"] and c.missing(["a"]) == []
