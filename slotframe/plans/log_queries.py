@@ -10,7 +10,7 @@ from slotframe.functions.names import EVENT_KINDS, TAGS
 from slotframe.operators import jobs, log, recycle
 from slotframe.plans.register import query
 from slotframe.plans.sql import BOUNDED, EV, FRAMED, HEADERS, JOBS, PENDING, RECYCLE, varint
-from slotframe.sources import adapters
+from slotframe.sources import adapters, raw_log
 from slotframe.streaming import tail
 
 C = F.col
@@ -36,6 +36,12 @@ def log_scan(spark, d):
     return _framed(spark, d).select("seq", "kind", "slot_lower", "slot_upper", "body_size", "header_size")
 
 
+@query(f"WITH {FRAMED} SELECT slot_lower, slot_upper, header_size, CAST(kind_tag AS INTEGER) AS kind_tag, props AS payload FROM framed")
+def log_scan_bytes(spark, d):
+    """The log packed into bytes and parsed again."""
+    return raw_log.parse(raw_log.pack(_framed(spark, d))).withColumn("payload", C("payload").cast("string"))
+
+
 @query(f"WITH {EV} SELECT seq, kind, kind_tag, body_size FROM ev")
 def log_scan_blocking(spark, d):
     return tail.drain(tail.tail_scan(spark, f"{d}/events.parquet")).select("seq", "kind", "kind_tag", "body_size")

@@ -160,3 +160,19 @@ def test_bloom_semi_join(spark):
     for layout in bloom.LAYOUTS:
         got = bloom.semi_join(probes, members, bloom.Config.for_keys(layout, 43, 10.0)).collect()
         assert {int(x["item"]) for x in got} == set(range(0, 200, 7))
+
+
+def test_log_bytes(spark, tmp_path):
+    from slotframe.sources import raw_log
+
+    data = bytes([3, 8]) + b"ab" + bytes([0]) + bytes([0x82, 0x00, 5]) + b"c" + bytes([9, 4]) + b"cut"
+    assert list(raw_log.parse_segment(data, 100)) == [(100, 104, 1, 8, b"ab"), (105, 109, 2, 5, b"c")]
+    assert list(raw_log.parse_segment(b"", 0)) == [] and list(raw_log.parse_segment(b"\x80\x80", 0)) == []
+    rows = [(i, "raw", 8, 1, "x" * (i * 7 % 300), 1 + i * 7 % 300) for i in range(50)]
+    framed = log.frame(spark.createDataFrame(rows, "seq long, kind string, kind_tag int, user_id long, body string, body_size long"))
+    segments = raw_log.pack(framed, segment=16)
+    for r in segments.collect():
+        (tmp_path / f"{r['base']}.log").write_bytes(bytes(r["data"]))
+    got = raw_log.parse(raw_log.read_segments(spark, str(tmp_path))).orderBy("slot_lower").collect()
+    want = framed.orderBy("seq").collect()
+    assert [(r["slot_lower"], r["slot_upper"], r["header_size"], bytes(r["payload"]).decode()) for r in got] == [(r["slot_lower"], r["slot_upper"], r["header_size"], r["body"]) for r in want]
