@@ -20,7 +20,7 @@ def running(df: DataFrame, keys: tuple[str, ...], order: str, value: Column, how
     """
     fold = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
     whole = {"sum": F.sum("_v"), "max": F.max("_v"), "last": F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order)))}[how]
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumn("_v", value)
+    cut = df.withColumn("_chunk", F.expr(f"`{order}` div {chunk}")).withColumn("_v", value)
     inner = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     outer = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = cut.groupBy(*keys, "_chunk").agg(whole.alias("_c")).select(*keys, "_chunk", fold("_c").over(outer).alias("_before"))
@@ -124,7 +124,7 @@ def predecessor(df: DataFrame, order: str, value: str, out: str, keys: tuple[str
 
     The last row of each chunk is carried to the next, so no task sees more than a chunk and one row for each chunk.
     """
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    cut = df.withColumn("_chunk", F.expr(f"`{order}` div {chunk}"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
     ends = cut.groupBy(*keys, "_chunk").agg(F.max_by(value, order).alias("_end"))
     carried = ends.select(*keys, "_chunk", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carried"))

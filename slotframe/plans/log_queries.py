@@ -24,6 +24,10 @@ def _bounded(spark: SparkSession, d: str) -> DataFrame:
     return log.with_bounds(_framed(spark, d), adapters.log(spark, d))
 
 
+def _job_log(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.log(spark, d, "prepare", "commit", "rollback")
+
+
 def _durable_users(spark: SparkSession, d: str) -> DataFrame:
     return log.user_slots(log.visible(_bounded(spark, d), "durable"))
 
@@ -183,7 +187,7 @@ def multi_append(spark, d):
 FROM (SELECT * FROM j WHERE kind = 'prepare') p JOIN (SELECT * FROM j WHERE kind = 'commit') c USING (prepare_slot) JOIN framed a ON a.seq = p.prepare_slot JOIN framed b ON b.seq = c.seq""")
 def job_append(spark, d):
     framed = _framed(spark, d)
-    pairs = jobs.committed(jobs.linked(adapters.log(spark, d)))
+    pairs = jobs.committed(jobs.linked(_job_log(spark, d)))
     low = framed.select(C("seq").alias("prepare_slot"), C("slot_lower").alias("prepare_lower"))
     high = framed.select(C("seq").alias("commit_slot"), C("slot_upper").alias("commit_upper"))
     return pairs.join(low, "prepare_slot").join(high, "commit_slot").select("prepare_slot", "commit_slot", "prepare_lower", "commit_upper")
@@ -216,7 +220,7 @@ SELECT c.seq AS commit_slot, c.prepare_slot, a.size + b.size AS "grant" FROM job
 def demux_commit_grant(spark, d):
     rows = adapters.log(spark, d)
     sizes = rows.select("seq", (C("body_size") + packed.varint_size(C("body_size"))).cast("long").alias("size"))
-    return jobs.commit_grants(jobs.linked(rows), sizes)
+    return jobs.commit_grants(jobs.linked(_job_log(spark, d)), sizes)
 
 
 @query(f"WITH {FRAMED} SELECT count(*) AS n, CAST(count_if(slot_upper <= before) AS BIGINT) AS violations FROM (SELECT slot_upper, lag(slot_upper) OVER (ORDER BY seq) AS before FROM framed)")
@@ -249,12 +253,12 @@ def header_sanity(spark, d):
 
 @query(f"WITH {PENDING} SELECT prepare_slot, user_id FROM pending")
 def job_pending(spark, d):
-    return jobs.pending(jobs.linked(adapters.log(spark, d)))
+    return jobs.pending(jobs.linked(_job_log(spark, d)))
 
 
 @query(f"WITH {JOBS} SELECT prepare_slot, seq AS commit_slot, seq - prepare_slot AS lag FROM jobs WHERE kind = 'commit'")
 def job_committed(spark, d):
-    return jobs.committed(jobs.linked(adapters.log(spark, d)))
+    return jobs.committed(jobs.linked(_job_log(spark, d)))
 
 
 @query(f"""WITH {PENDING}, att AS (SELECT user_id % 7 AS device, max(seq) AS user_slot FROM ev WHERE kind = 'attach' AND seq < 9 * (SELECT max(seq) FROM ev) // 10 GROUP BY 1),
@@ -265,19 +269,19 @@ def job_resolution(spark, d):
     rows = adapters.log(spark, d)
     end = rows.agg(F.floor(9 * F.max("seq") / 10).alias("end"))
     attached = rows.filter("kind = 'attach'").crossJoin(F.broadcast(end)).filter("seq < end").groupBy((C("user_id") % 7).alias("device")).agg(F.max("seq").alias("user_slot"))
-    waiting = jobs.pending(jobs.linked(rows)).select("prepare_slot", F.array(C("user_id") % 3, C("user_id") % 8).alias("devices"))
+    waiting = jobs.pending(jobs.linked(_job_log(spark, d))).select("prepare_slot", F.array(C("user_id") % 3, C("user_id") % 8).alias("devices"))
     return jobs.resolutions(waiting, attached)
 
 
 @query(f"WITH {EV}, a AS (SELECT user_id, max(seq) AS user_slot FROM ev WHERE kind = 'attach' GROUP BY 1) SELECT c_custkey AS client, user_slot FROM customer JOIN a ON user_id = c_custkey")
 def attachment_lookup(spark, d):
-    attached = adapters.log(spark, d).filter("kind = 'attach'").groupBy(C("user_id").alias("client")).agg(F.max("seq").alias("user_slot"))
+    attached = adapters.log(spark, d, "attach").groupBy(C("user_id").alias("client")).agg(F.max("seq").alias("user_slot"))
     return adapters.table(spark, d, "customer").select(C("c_custkey").alias("client")).join(attached, "client")
 
 
 @query(f"WITH {EV} SELECT user_id AS client, max(seq) AS user_slot FROM ev WHERE kind IN ('attach', 'rollback') GROUP BY 1 HAVING max_by(kind, seq) = 'attach'")
 def attachments(spark, d):
-    rows = adapters.log(spark, d).filter("kind IN ('attach', 'rollback')")
+    rows = adapters.log(spark, d, "attach", "rollback")
     return jobs.attachments(rows.select(C("user_id").alias("client"), C("seq").alias("slot"), F.when(C("kind") == "attach", "attach").otherwise("detach").alias("kind")))
 
 
@@ -318,7 +322,7 @@ def kv_replay_stream(spark, d):
 
 @query(f"WITH {JOBS} SELECT user_id, prepare_slot, lag(prepare_slot) OVER (PARTITION BY user_id ORDER BY prepare_slot) AS prev_user_slot FROM jobs WHERE kind = 'prepare'")
 def prev_user_slot(spark, d):
-    return jobs.previous_user_slot(jobs.linked(adapters.log(spark, d)))
+    return jobs.previous_user_slot(jobs.linked(_job_log(spark, d)))
 
 
 @query(f"WITH {FRAMED} SELECT seq AS i, coalesce(lag(slot_upper) OVER (ORDER BY seq), 0) AS prev_upper, slot_upper AS upper FROM framed")
@@ -361,7 +365,7 @@ def pending_trim(spark, d):
 @query(f"""WITH {EV}, m AS (SELECT user_id AS client, kind_tag % 2 AS part, max(seq) AS slot, count(*) AS copies FROM ev WHERE kind IN ('attach', 'rollback') GROUP BY 1, 2)
 SELECT count(*) AS entries, CAST(count_if(copies > 1) AS BIGINT) AS seen_again, CAST(count_if(copies > 1) * 34 AS BIGINT) AS reclaimable_bytes, CAST(sum(slot) AS BIGINT) AS slot_sum FROM m""")
 def metadata_latest(spark, d):
-    rows = adapters.log(spark, d).filter("kind IN ('attach', 'rollback')")
+    rows = adapters.log(spark, d, "attach", "rollback")
     each = rows.groupBy(C("user_id").alias("client"), (C("kind_tag") % 2).alias("part")).agg(F.max("seq").alias("slot"), F.count(F.lit(1)).alias("copies"))
     again = F.count_if(C("copies") > 1)
     return each.agg(F.count(F.lit(1)).alias("entries"), again.alias("seen_again"), (again * 34).alias("reclaimable_bytes"), F.sum("slot").alias("slot_sum"))
@@ -379,7 +383,7 @@ def volume_recover(spark, d):
     rows = adapters.log(spark, d)
     user = C("kind").isin(*log.USER_KINDS)
     scan = rows.agg(F.count(F.lit(1)).alias("slots"), F.count_if(user).alias("user_slots"), F.countDistinct(F.when(C("kind") == "attach", C("user_id"))).alias("attached"))
-    waiting = jobs.pending(jobs.linked(rows)).agg(F.count(F.lit(1)).alias("pending_jobs"))
+    waiting = jobs.pending(jobs.linked(_job_log(spark, d))).agg(F.count(F.lit(1)).alias("pending_jobs"))
     return scan.crossJoin(F.broadcast(waiting)).select("slots", "pending_jobs", "user_slots", "attached")
 
 
@@ -487,4 +491,4 @@ def devices_by_size(spark, d):
 
 @query(f"WITH {EV} SELECT seq, user_id FROM ev WHERE kind = 'attach' ORDER BY seq LIMIT 5")
 def heap_key_order(spark, d):
-    return adapters.log(spark, d).filter("kind = 'attach'").orderBy("seq").limit(5).select("seq", "user_id")
+    return adapters.log(spark, d, "attach").orderBy("seq").limit(5).select("seq", "user_id")

@@ -42,8 +42,11 @@ def log_of(events: DataFrame) -> DataFrame:
     )
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_of(table(spark, sf_dir, "events"))
+def log(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """The log, or its records of some kinds; these are asked for by event type, so that the scan skips the others."""
+    events = table(spark, sf_dir, "events")
+    wanted = [t for t, (kind, _) in KINDS.items() if kind in kinds]
+    return log_of(events.filter(F.col("event_type").isin(*wanted)) if kinds else events)
 
 
 def kv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
