@@ -34,6 +34,21 @@ def stage(df: DataFrame, what: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that pass between Spark and a Python worker at once.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches have been made small enough for whole texts.
+
+    The setting holds for the session, as it is read when a plan runs; a smaller one is left as it is.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def words(text: Column) -> Column:
     """Number of words of ``text``; null has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{WHITE}]+")).cast("long")
@@ -44,7 +59,7 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, value: str, out: str
 
     Two levels of windows, so that no task sorts more than ``step`` rows, or rows / ``step``, of one key.
     """
-    level = df.withColumn("_g", F.floor(F.col(order) / step))
+    level = df.withColumn("_g", F.expr(f"{order} div {step}"))
     inner = Window.partitionBy(*keys, "_g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")

@@ -44,7 +44,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
     keep = exact_dedup(docs).filter("kept").select(*keys(F.col("doc_id"), F.col("text_sha256")))
     rows = docs.select(F.struct("*").alias("row"), *keys(docs["doc_id"], F.sha2(normalised(docs["text"]), 256)))
-    return rows.join(keep.distinct(), ["_k", "_null", "_sha"]).dropDuplicates(["_k", "_null", "_sha"]).select("row.*")
+    first = F.row_number().over(Window.partitionBy("_k", "_null", "_sha").orderBy("_k"))
+    return rows.join(keep.distinct(), ["_k", "_null", "_sha"]).withColumn("_n", first).filter("_n = 1").select("row.*")
 
 
 ORACLE = """

@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotframe.llm.common import text_batches
+
 #: Texts are scored in runs of about so many bytes.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 19
 _BASE = 1_099_511_628_211
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.concatenate([[1], np.full(4095, _BASE)]).astype(np.uint64), dtype=np.uint64)
@@ -154,10 +156,14 @@ def _trainer(s: Settings):
             for data, offsets in _runs(b.column("text")):
                 grams, counts = features(data, offsets, s.bits)
                 at = np.concatenate([[0], np.cumsum(counts)])
+                found = []
                 for i in range(len(counts)):
                     own = np.concatenate([g[at[i] : at[i + 1]] for g in grams])
                     idx, times = np.unique(own[own >= 0], return_counts=True)
-                    rows.append((idx, s.scale * times / max(1, counts[i]), next(labels)))
+                    found.append((idx.astype(np.int32), (s.scale * times / max(1, counts[i])).astype(np.float32)))
+                cuts = np.cumsum([0, *(len(idx) for idx, _ in found)])
+                idx, x = (np.concatenate(c) for c in zip(*found))  # few large arrays go back to the system when freed
+                rows += [(idx[a:z], x[a:z], next(labels)) for a, z in zip(cuts, cuts[1:])]
         w, bias = train(rows, s)
         idx = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(idx, -1)), pa.array(np.append(w[idx], bias).astype(np.float64))], ["i", "w"])
@@ -174,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     """Weights and bias, learnt from up to ``max_rows`` labelled rows outside the held-out fold, in one task."""
     learn = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold("doc_id") != 0)).select("doc_id", "quality", F.xxhash64("doc_id").alias("order"))
     sample = F.broadcast(learn.orderBy("order", "doc_id", "quality").limit(s.max_rows))  # max_rows rows of 20 bytes
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").repartition(1).sortWithinPartitions("order", "doc_id", "quality")
+    rows = text_batches(docs).select("doc_id", "text").join(sample, "doc_id").repartition(1).sortWithinPartitions("order", "doc_id", "quality")
     found = rows.select("text", "quality").mapInArrow(_trainer(s), "i long, w double").collect()  # 2 ** bits weights at most
     weights = np.zeros(1 << s.bits, np.float32)
     bias = 0.0
@@ -203,7 +209,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
             m = np.clip(margins(b.column("text"), weights, bias, s), -35, 35)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-m)))], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= s.threshold).cast("int").alias("predicted"))
 
 
@@ -217,4 +223,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> D
             m = np.clip(margins(b.column("text"), weights, bias, s), -35, 35)
             yield b.filter(pa.array(1 / (1 + np.exp(-m)) >= s.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotframe.llm.common import stage
+from slotframe.llm.common import stage, text_batches
 from slotframe.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -56,7 +56,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the 64 bits as a long) of each row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -207,4 +207,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     keep = near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*keys(F.col("doc_id"))).distinct()
     rows = docs.select(F.struct("*").alias("row"), *keys(docs["doc_id"]))
-    return rows.join(keep, ["_k", "_null"]).dropDuplicates(["_k", "_null"]).select("row.*")
+    first = F.row_number().over(Window.partitionBy("_k", "_null").orderBy("_k"))
+    return rows.join(keep, ["_k", "_null"]).withColumn("_n", first).filter("_n = 1").select("row.*")
