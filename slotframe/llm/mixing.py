@@ -85,9 +85,9 @@ def mix_slots(plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
     part = -(-n // LOOKUP_PARTS)
     upto = Window.orderBy("rank")
     ranges = plan.filter("n_slots > 0").select("rank", F.sum("n_slots").over(upto).alias("hi"), "n_slots").withColumn("lo", F.col("hi") - F.col("n_slots"))
-    ranges = ranges.withColumn("part", F.explode(F.sequence(F.floor(F.col("lo") / part), F.floor((F.col("hi") - 1) / part))))
-    drawn = spark.range(n).select(F.floor(F.col("id") / mix.shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(mix.seed), F.lit("draw"), "id"), F.lit(n)).alias("u"))
-    drawn = drawn.withColumn("part", F.floor(F.col("u") / part)).join(ranges.select("rank", "lo", "hi", "part"), "part").filter("u >= lo AND u < hi")
+    ranges = ranges.withColumn("part", F.explode(F.sequence(F.expr(f"lo div {part}"), F.expr(f"(hi - 1) div {part}"))))
+    drawn = spark.range(n).select(F.expr(f"id div {mix.shard_slots}").alias("shard"), F.pmod(F.xxhash64(F.lit(mix.seed), F.lit("draw"), "id"), F.lit(n)).alias("u"))
+    drawn = drawn.withColumn("part", F.expr(f"u div {part}")).join(ranges.select("rank", "lo", "hi", "part"), "part").filter("u >= lo AND u < hi")
     counts = stage(drawn.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     shards = -(-n // mix.shard_slots)
     placed = prefix_sums(counts, ["rank"], "shard", "n", "slot0")
@@ -97,8 +97,8 @@ def mix_slots(plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
     runs = placed.select("shard", "rank", "slot0", "n").unionByName(closing).join(plan.select("rank", "n_slots", "n_blocks"), "rank")
     runs = runs.withColumn("end", F.least(F.col("slot0") + F.col("n"), F.col("n_slots"))).filter("end > slot0")
     slots = runs.withColumn("slot", F.explode(F.sequence(F.col("slot0"), F.col("end") - 1)))
-    key = F.xxhash64(F.lit(mix.seed), F.lit("block"), "rank", F.floor(F.col("slot") / F.col("n_blocks")))
-    shard = F.when(F.col("shard") < shards, F.col("shard")).otherwise(F.col("shard") + F.floor((F.col("slot") - F.col("slot0")) / mix.shard_slots))
+    key = F.xxhash64(F.lit(mix.seed), F.lit("block"), "rank", F.expr("slot div n_blocks"))
+    shard = F.when(F.col("shard") < shards, F.col("shard")).otherwise(F.col("shard") + F.expr(f"(slot - slot0) div {mix.shard_slots}"))
     slots = slots.select(shard.alias("shard"), "rank", "slot", "n_blocks", key.alias("key"), F.pmod("slot", "n_blocks").alias("i"))
     return slots.select("shard", "rank", "slot", permuted(F.col("i"), F.col("n_blocks"), F.col("key"), mix.rounds).alias("block_index"))
 
@@ -123,8 +123,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     starts = prefix_sums(rows.groupBy("rank", "chunk").agg(F.sum("size").alias("words")), ["rank"], "chunk", "words", "chunk_at").select("rank", "chunk", "chunk_at")
     rows = rows.withColumn("n", F.row_number().over(number)).withColumn("inner_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(starts, ["rank", "chunk"]).withColumn("at", F.col("chunk_at") + F.col("inner_at"))
-    last = F.floor((F.col("at") + F.col("size") - 1) / F.col("block"))
-    spans = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / F.col("block")), last))
+    last = F.expr("(at + size - 1) div block")
+    spans = F.when(F.col("size") > 0, F.sequence(F.expr("at div block"), last))
     parts = rows.select("rank", "chunk", "n", "doc_id", "size", "source_size", "target", "at", "block", F.explode_outer(spans).alias("block_index"))
     begin = F.col("block_index") * F.col("block")
     parts = parts.withColumn("overlap", F.least(F.col("at") + F.col("size"), begin + F.col("block")) - F.greatest(F.col("at"), begin))
