@@ -142,14 +142,26 @@ class Block:
     heading: bool
 
 
+#: A class name that begins so tells of something beside, as in has-sidebar. Fixed values.
+_BESIDE = frozenset("has with without no is not".split())
+_HIDDEN = re.compile(r"\shidden(?=[\s>])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+
+
 def _marks(tag: str) -> set[str]:
+    """The words in a tag's classes, id and role."""
     out: set[str] = set()
     for groups in _MARKS.findall(tag):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(groups))
-        out.update(w for w in re.split(r"[^a-z0-9]+", value.lower()) if w)
+        for name in "".join(groups).split():
+            parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            if parts and parts[0] not in _BESIDE:
+                out.update(parts)
     return out
 
 
+def _is_boiler(tag: str, name: str) -> bool:
+    return bool("=" in tag and _marks(tag) & BOILER_WORDS) and name not in ("article", "main") or bool(_HIDDEN.search(tag))
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, with where they stand."""
     out: list[Block] = []
@@ -157,15 +169,14 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links: list[str] = []
     anchor = head = 0
-    heading = False
+    heading = leaf = False  # of the block at hand: whether it is a heading, whether its own tag says boilerplate
 
     def end() -> None:
-        nonlocal heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             linked = len(html.unescape(" ".join(links)).split())
             _, article, boiler = stack[-1]
-            out.append(Block(text, text.count(" ") + 1, linked, article, boiler, heading))
+            out.append(Block(text, text.count(" ") + 1, linked, article, boiler or leaf, heading))
         parts.clear()
         links.clear()
 
@@ -196,7 +207,9 @@ def blocks(page: str) -> list[Block]:
         elif n == "body":
             head = 0
         heading = n in ("h1", "h2", "h3", "h4", "h5", "h6") and not closing
+        leaf = False
         if n not in CONTAINERS or tag.endswith("/>"):
+            leaf = not closing and n not in ("html", "body") and _is_boiler(tag, n)
             continue
         if closing:
             if any(x[0] == n for x in stack):
@@ -206,7 +219,7 @@ def blocks(page: str) -> list[Block]:
         _, article, boiler = stack[-1]
         marks = _marks(tag) if n not in ("html", "body") else set()
         own = n in ("article", "main") or bool(marks & ARTICLE_WORDS)
-        bad = n in BOILER_TAGS or n == "header" and not article or n not in ("article", "main") and bool(marks & BOILER_WORDS)
+        bad = n in BOILER_TAGS or n == "header" and not article or n not in ("html", "body") and _is_boiler(tag, n)
         stack.append((n, article or own and not bad, boiler or bad))
     say(page[at:])
     end()

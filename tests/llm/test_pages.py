@@ -153,3 +153,9 @@ def test_unclosed_quotes_do_not_stall():
     assert main_text(page).count("word") > 0
     assert main_text("<article>" + "<p x='" * 30_000 + f"><p>{LONG}</p>") is not None
     assert main_text("<!-" * 30_000 + "<script" * 30_000) is not None
+
+
+def test_marks_on_leaves_and_wrappers():
+    page = f"""<body><div class="content has-sidebar"><p>{LONG}</p><p class="advert">{LONG} ad</p><div class="entry-content"><p>{LONG} two</p><p hidden>{LONG} hidden</p></div>
+    <ul><li class="comment">{LONG} comment</li></ul><div style="display: none"><p>{LONG} none</p></div><div class="post-comments"><p>{LONG} more</p></div></div><div id="rightSidebar">{LONG}</div></body>"""
+    assert main_text(page) == f"{LONG}\n{LONG} two"
