@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotframe.operators.staging import stage
+
 #: A page that is deleted goes from count 1 to 0 by this delta, whatever else is added.
 DROP = -(1 << 31)
 MAX_DEPTH = 32
-LOCAL_SHARED_DIR = "/tmp/checkpoints/slotframe"
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder that the cluster shares (spark.checkpoint.dir) and read it back."""
-    spark: SparkSession = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_SHARED_DIR}/slotframe-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def out_refs(edges: DataFrame, pages: DataFrame) -> DataFrame:

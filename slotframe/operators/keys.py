@@ -5,33 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotframe.operators.staging import stage
 
-def ranked(keys: DataFrame) -> DataFrame:
-    """(i, key): the distinct keys in byte order, from 0.
 
-    Ranks are counted within ranges of the first byte pair and shifted by the keys in the ranges before.
+def _counted(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """Add ``out``, the sum of ``value`` over rows (distinct in key) up to this one in byte order.
+
+    Rows are dealt out by ranges of the key that Spark chooses by sample, so that a prefix which most keys share
+    doesn't bring them to one task. The ranges are written, since two plans must see the same ones.
     """
-    head = F.substring("key", 1, 2)
-    rows = keys.select("key").filter("key IS NOT NULL").distinct().withColumn("_head", head)
-    sizes = rows.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_head", F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_head").orderBy("key")) - 1
-    return rows.withColumn("_i", inside).join(before, "_head").select((F.col("_i") + F.col("_before")).cast("long").alias("i"), "key")
+    parts = stage(rows.repartitionByRange("key").withColumn("_part", F.spark_partition_id()), "key-ranges")
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_s"))
+    before = sums.select("_part", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"))  # one row a range
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    met = parts.withColumn("_in", inside).join(before, "_part")
+    return met.withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
+
+
+def ranked(keys: DataFrame) -> DataFrame:
+    """(i, key): the distinct keys in byte order, from 0. Null is no key."""
+    rows = keys.select("key").filter("key IS NOT NULL").distinct().withColumn("_one", F.lit(1))
+    return _counted(rows, "_one", "i").select((F.col("i") - 1).alias("i"), "key")
 
 
 def find(keys: DataFrame, probes: DataFrame) -> DataFrame:
     """(probe, lo, hi): the positions of keys equal to the probe, [count less, count not greater).
 
-    Keys and probes are laid out together in byte order, range by range as in ``ranked``.
+    Keys and probes are laid out together in byte order. An absent key has an empty range at its place.
     """
     both = keys.select("key").distinct().select("key", F.lit(1).alias("_own")).unionByName(probes.select(F.col("probe").alias("key"), F.lit(0).alias("_own")))
-    rows = both.filter("key IS NOT NULL").groupBy("key").agg(F.sum("_own").alias("_own"), F.bool_or(F.col("_own") == 0).alias("_probe")).withColumn("_head", F.substring("key", 1, 2))
-    sizes = rows.groupBy("_head").agg(F.sum("_own").alias("_n"))
-    before = sizes.select("_head", F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum("_own").over(Window.partitionBy("_head").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    met = rows.withColumn("_in", inside).join(before, "_head").filter("_probe")
-    hi = F.col("_in") + F.col("_before")
-    return met.select(F.col("key").alias("probe"), (hi - F.col("_own")).cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    rows = both.filter("key IS NOT NULL").groupBy("key").agg(F.sum("_own").alias("_own"), F.bool_or(F.col("_own") == 0).alias("_probe"))
+    met = _counted(rows, "_own", "hi").filter("_probe")
+    return met.select(F.col("key").alias("probe"), (F.col("hi") - F.col("_own")).alias("lo"), "hi")
 
 
 def compare(a: Column, b: Column) -> Column:

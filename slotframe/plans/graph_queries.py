@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotframe.operators import graph, intervals
+from slotframe.operators.staging import stage
 from slotframe.plans.register import query
 from slotframe.plans.sql import EDGES, RUNS, UPDATES, node
 from slotframe.sources import adapters
@@ -21,7 +22,7 @@ def _pages(spark, d, kind, key, condition=None):
 
 def _kept_edges(spark, d):
     """The edges, written once, as every step of a traversal reads them."""
-    return graph.stage(adapters.edges(spark, d))
+    return stage(adapters.edges(spark, d))
 
 
 def _roots(spark, d):

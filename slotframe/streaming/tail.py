@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from slotframe.operators.staging import shared_path
 from slotframe.schemas import EVENTS
 from slotframe.sources.adapters import log_of
 
-LOCAL_SHARED_DIR = "/tmp/checkpoints/slotframe"
-
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Events as they arrive in a folder; a path that is one file is that folder with the one name allowed."""
@@ -33,7 +31,7 @@ def tail_scan(spark: SparkSession, path: str) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, written to the shared folder with a checkpoint, and read the rows."""
     spark = stream.sparkSession
-    home = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_SHARED_DIR}/slotframe-stream-{uuid.uuid4().hex}"
+    home = shared_path(spark, "stream")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{home}/rows").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{home}/rows")
