@@ -9,11 +9,13 @@ the bit offset of each block (u64); the bits, first bit highest, padded to 8 byt
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -26,14 +28,13 @@ from pyspark.sql.types import StructType
 
 from slotframe.llm import files
 from slotframe.llm.common import new_path, stage
+from slotframe.llm.word_cache import WordCache
 
 MAGIC = 0x3146554853444954
 BLOCK_IDS = 512
 #: A part is closed beyond so many ids.
 PART_IDS = 4 << 20
 END_ID = 2
-#: Words whose ids a Python worker keeps between batches.
-CACHE_WORDS = 3_000_000
 SHORTEST_LIMIT = 16
 
 
@@ -158,55 +159,73 @@ def _lengths_of(path: str) -> np.ndarray:
     return out
 
 
-_known: dict[str, dict[str, bytes]] = {}
-#: A space after a character that isn't white space always begins a new piece, so texts may be cut there.
-_WHITE = frozenset(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+class _Memory:
+    """What a worker knows of one tokenizer: ids of words after a space, of words that begin a text, of sign runs."""
 
+    def __init__(self) -> None:
+        self.words, self.heads, self.tails = WordCache(), WordCache(20_000), WordCache(20_000)
 
-def _learn(path: str, known: dict[str, bytes], units: list[str], kind: type) -> None:
-    """Encode unseen units, many in one string: cut at the same places, so each unit's ids follow from their bytes."""
+
+_memories: dict[str, _Memory] = {}
+#: A space after a character that isn't white space always begins a new piece, so texts without these may be cut there.
+_IN_A_ROW = [chr(c) + " " for c in (*range(9, 14), *range(28, 33))]
+_IN_A_ROW_BEYOND = [chr(c) + " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: After letters alone, a run of these is a piece of its own.
+_SIGNS = string.punctuation
+
+
+def _learn(path: str, units: list[str], kind: type) -> list[bytes]:
+    """Ids of the units, which begin with a space and hold no other: many in one string, cut where its spaces are."""
     t, width = _tokenizer(path), _lengths_of(path)
-    runs = [units[i : i + 256] for i in range(0, len(units), 256)]
-    for run, e in zip(runs, t.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)):
-        ids = np.array(e.ids, np.int64)
-        ends = np.cumsum([len(u.encode()) for u in run])
-        last = np.searchsorted(np.cumsum(width[ids]), ends)
-        packed, size = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
-        a = 0
-        for u, z in zip(run, ((last + 1) * size).tolist()):
-            known[u] = packed[a:z]
-            a = z
+    out: list[bytes] = []
+    for i in range(0, len(units), 1 << 14):
+        runs = ["".join(units[j : j + 256]) for j in range(i, min(len(units), i + (1 << 14)), 256)]
+        for run, e in zip(runs, t.encode_batch_fast(runs, add_special_tokens=False)):
+            ids = np.array(e.ids, np.int64)
+            begins = np.flatnonzero(np.frombuffer(run.encode(), np.uint8) == 32)
+            before = np.cumsum(width[ids]) - width[ids]
+            cuts = (np.append(np.searchsorted(before, begins), len(ids)) * np.dtype(kind).itemsize).tolist()
+            packed = ids.astype(kind).tobytes()
+            out += [packed[a:z] for a, z in zip(cuts, cuts[1:])]
+    return out
+
+
+def _learn_words(path: str, memory: _Memory, words: list[str], kind: type) -> None:
+    """Letters with signs after them are two pieces, so that a word is encoded once whatever follows it."""
+    known, alone, split = memory.words.known, [], []
+    for w in words:
+        stem = w.rstrip(_SIGNS)
+        if len(stem) < len(w) and stem.isalpha():
+            split.append((w, stem, w[len(stem) :]))
+        else:
+            alone.append(w)
+    new = memory.words.missing({stem for _, stem, _ in split}.difference(alone)) + alone
+    known.update(zip(new, _learn(path, [f" {w}" for w in new], kind)))
+    memory.tails.turn()
+    tails = memory.tails.missing({tail for *_, tail in split})
+    memory.tails.known.update((x, _whole(path, x, kind)) for x in tails)
+    known.update((w, known[stem] + memory.tails.known[tail]) for w, stem, tail in split)
+
+
+def _whole(path: str, text: str, kind: type) -> bytes:
+    return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, kind).tobytes()
 
 
 def encode_texts(texts: list[str], path: str, end_id: int, kind: type) -> list[bytes]:
     """The ids of each text and ``end_id``, as little-endian integers of ``kind``."""
-    known = _known.setdefault(f"{path}{kind}", {})
-    if len(known) > CACHE_WORDS:
-        known.clear()
+    memory = _memories.setdefault(f"{path}{kind}", _Memory())
+    memory.words.turn()
+    memory.heads.turn()
     end = np.array([end_id], kind).tobytes()
     cut: list[list[str] | None] = []
-    new: dict[str, None] = {}
     for text in texts:
-        parts = text.split(" ")
-        if "" in parts[1:] or any(p[-1] in _WHITE for p in parts[:-1] if p):
-            cut.append(None)  # white space in a row: left whole
-            continue
-        cut.append(parts)
-        new.update(dict.fromkeys(p for p in parts[1:] if p not in known))
-    if new:
-        spaced = [f" {p}" for p in new]
-        got: dict[str, bytes] = {}
-        _learn(path, got, spaced, kind)
-        known.update((p[1:], ids) for p, ids in got.items())
-    t = _tokenizer(path)
-    whole = lambda x: np.array(t.encode(x, add_special_tokens=False).ids, kind).tobytes()
-    out = []
-    for text, parts in zip(texts, cut):
-        if parts is None:
-            out.append(whole(text) + end)
-        else:
-            out.append((whole(parts[0]) if parts[0] else b"") + b"".join(map(known.__getitem__, parts[1:])) + end)
-    return out
+        in_a_row = any(map(text.__contains__, _IN_A_ROW)) or not text.isascii() and any(map(text.__contains__, _IN_A_ROW_BEYOND))
+        cut.append(None if in_a_row or text[-1:] == " " else text.split(" "))  # white space in a row: left whole
+    heads = memory.heads.missing(parts[0] for parts in cut if parts)
+    memory.heads.known.update((x, _whole(path, x, kind)) for x in heads)
+    _learn_words(path, memory, memory.words.missing(chain.from_iterable(parts[1:] for parts in cut if parts)), kind)
+    of, head_of = memory.words.known.__getitem__, memory.heads.known
+    return [_whole(path, text, kind) + end if parts is None else head_of[parts[0]] + b"".join(map(of, parts[1:])) + end for text, parts in zip(texts, cut)]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -334,7 +353,9 @@ class TokenReader(DataSourceReader):
             start += x["ids"]
         return out
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without parts
+            return
         doc_ids, nulls, counts, ids = unpack_part(files.read_bytes(partition.path), read_codes(self.path))
         ends = np.cumsum(counts.astype(np.int64))
         begins = ends - counts
