@@ -41,7 +41,8 @@ TEXT_ROWS = 1000
 def text_batches(df: DataFrame) -> DataFrame:
     """``df``, after the session's Arrow batches have been made small enough for whole texts.
 
-    The setting holds for the session, as it is read when a plan runs; a smaller one is left as it is.
+    The setting holds for the session, as it is read when a plan runs; a smaller one is left as it is. Spark itself
+    ends a batch at spark.sql.execution.arrow.maxBytesPerBatch bytes, so that long texts come in smaller batches.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= TEXT_ROWS:

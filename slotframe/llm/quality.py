@@ -99,32 +99,44 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[list[np.
     ], counts
 
 
-def _runs(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bytes and offsets of the texts of ``text``, some at a time; null is empty."""
+def _runs(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, offsets and row numbers of the texts of ``text``, about RUN_BYTES at a time; null is empty.
+
+    A longer text comes in pieces cut at white space (or, without any, at RUN_BYTES), so its memory is bounded too;
+    no n-gram spans a cut. Where a text is cut depends on itself alone.
+    """
     text = text.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] else np.zeros(0, np.uint8)
     i = 0
     while i < len(text):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + RUN_BYTES, "right")) - 1)
-        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        start, end = int(offsets[i]), int(offsets[i + 1])
+        if end - start > RUN_BYTES:
+            while start < end:
+                stop = min(end, start + RUN_BYTES)
+                white = np.flatnonzero(_KIND[data[start:stop]] == 0) if stop < end else ()
+                stop = start + int(white[-1]) + 1 if len(white) else stop
+                yield data[start:stop], np.array([0, stop - start]), np.array([i])
+                start = stop
+            i += 1
+            continue
+        j = int(np.searchsorted(offsets, start + RUN_BYTES, "right")) - 1
+        yield data[start : offsets[j]], offsets[i : j + 1] - start, np.arange(i, j)
         i = j
 
 
 def margins(text: pa.Array, weights: np.ndarray, bias: float, s: Settings) -> np.ndarray:
-    """The linear score of each text: for each kind of n-gram, the mean of its weights."""
-    out = []
+    """The linear score of each text: for each kind of n-gram, the sum of its weights by the number of tokens."""
+    sums, tokens = np.zeros(len(text)), np.zeros(len(text))
     padded = np.append(weights, np.float32(0))  # -1 finds nothing
-    for data, offsets in _runs(text):
+    for data, offsets, rows in _runs(text):
         grams, counts = features(data, offsets, s.bits)
-        total = np.zeros(len(counts))
         has = np.flatnonzero(counts)
         begin = (np.cumsum(counts) - counts)[has]
-        for idx in grams:
-            if len(has):
-                total[has] += np.add.reduceat(padded[idx].astype(np.float64), begin) / counts[has]
-        out.append(bias + s.scale * total)
-    return np.concatenate(out) if out else np.zeros(0)
+        np.add.at(tokens, rows, counts)
+        for idx in grams if len(has) else ():
+            np.add.at(sums, rows[has], np.add.reduceat(padded[idx].astype(np.float64), begin))
+    return bias + s.scale * sums / np.maximum(tokens, 1)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[np.ndarray, float]:
@@ -151,19 +163,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[
 def _trainer(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for b in batches:
-            labels = iter(b.column("quality").to_pylist())
-            for data, offsets in _runs(b.column("text")):
+        for b in (b for b in batches if b.num_rows):
+            own: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
+            tokens = np.zeros(b.num_rows)
+            for data, offsets, at in _runs(b.column("text")):
                 grams, counts = features(data, offsets, s.bits)
-                at = np.concatenate([[0], np.cumsum(counts)])
-                found = []
-                for i in range(len(counts)):
-                    own = np.concatenate([g[at[i] : at[i + 1]] for g in grams])
-                    idx, times = np.unique(own[own >= 0], return_counts=True)
-                    found.append((idx.astype(np.int32), (s.scale * times / max(1, counts[i])).astype(np.float32)))
-                cuts = np.cumsum([0, *(len(idx) for idx, _ in found)])
-                idx, x = (np.concatenate(c) for c in zip(*found))  # few large arrays go back to the system when freed
-                rows += [(idx[a:z], x[a:z], next(labels)) for a, z in zip(cuts, cuts[1:])]
+                np.add.at(tokens, at, counts)
+                cuts = np.concatenate([[0], np.cumsum(counts)])
+                for i, row in enumerate(at):
+                    own[row] += [g[cuts[i] : cuts[i + 1]].astype(np.int32) for g in grams]
+            found = []
+            for row, parts in enumerate(own):
+                every = np.concatenate(parts)
+                idx, times = np.unique(every[every >= 0], return_counts=True)
+                found.append((idx, (s.scale * times / max(1, tokens[row])).astype(np.float32)))
+            cuts = np.cumsum([0, *(len(idx) for idx, _ in found)])
+            idx, x = (np.concatenate(c) for c in zip(*found))  # few large arrays go back to the system when freed
+            rows += [(idx[a:z], x[a:z], y) for a, z, y in zip(cuts, cuts[1:], b.column("quality").to_pylist())]
         w, bias = train(rows, s)
         idx = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(idx, -1)), pa.array(np.append(w[idx], bias).astype(np.float64))], ["i", "w"])

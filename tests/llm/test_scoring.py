@@ -46,7 +46,7 @@ def test_top_k_of_large_values(spark):
 
 
 def test_tokens_and_shapes():
-    grams = lambda *texts: quality.features(*next(quality._runs(pa.array(texts, pa.string()))), 18)
+    grams = lambda *texts: quality.features(*next(quality._runs(pa.array(texts, pa.string())))[:2], 18)
     idx, counts = grams("Hello wörld!! x", None, "", "  \n", "Hello")
     assert counts.tolist() == [4, 0, 0, 0, 1]
     assert idx[0][0] == idx[0][4] and idx[1][0] == -1 and idx[1][4] == -1 and (idx[4][:2] == -1).all()
@@ -65,6 +65,18 @@ def test_score_does_not_depend_on_the_batch():
     assert together[1] == together[4] == 0.1
 
 
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    w = np.random.default_rng(1).normal(size=1 << 18).astype(np.float32)
+    texts = ["short one", "piece by piece " * 300, "x" * 5000, "last"]
+    whole = quality.margins(pa.array(texts), w, 0.1, quality.Settings())
+    monkeypatch.setattr(quality, "RUN_BYTES", 1000)
+    pieces = list(quality._runs(pa.array(texts)))
+    assert b"".join(p[0].tobytes() for p in pieces).decode() == "".join(texts) and max(len(p[0]) for p in pieces) <= 1000
+    cut = quality.margins(pa.array(texts), w, 0.1, quality.Settings())
+    assert cut[0] == whole[0] and cut[3] == whole[3] and abs(cut[1] - whole[1]) < 0.2
+    assert np.allclose(quality.margins(pa.array(texts[1:2]), w, 0.1, quality.Settings()), cut[1:2])
+
+
 def documents(spark, n=300):
     r = random.Random(5)
     words = ["".join(r.choice("aeioubcdfg") for _ in range(5)) for _ in range(400)]
