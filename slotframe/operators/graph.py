@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotframe.operators.staging import stage
+from slotframe.operators.staging import stage, stage_counted
 
 #: A page that is deleted goes from count 1 to 0 by this delta, whatever else is added.
 DROP = -(1 << 31)
@@ -28,8 +28,8 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = MAX_DEPTH)
     while max_depth is None or depth < max_depth:
         depth += 1
         found = edges.join(front.select(F.col("page_id").alias("src")), "src").select(F.col("dst").alias("page_id")).distinct()
-        front = stage(found.join(seen, "page_id", "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+        front, n = stage_counted(found.join(seen, "page_id", "left_anti").withColumn("depth", F.lit(depth)))
+        if not n:
             break
         seen = seen.unionByName(front)
     return seen
@@ -93,8 +93,8 @@ def cascade(counts: DataFrame, dead: DataFrame, edges: DataFrame, max_depth: int
         touched = out_refs(edges, front).select(F.col("dst").alias("page_id")).distinct()
         lost = edges.join(gone.select(F.col("page_id").alias("src")), "src", "left_semi").join(touched.select(F.col("page_id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("page_id")).agg(F.count(F.lit(1)).alias("lost"))
         died = lost.join(counts, "page_id").filter("lost >= refs").join(gone, "page_id", "left_anti")
-        front = stage(died.select("page_id", F.lit(depth).alias("depth")))
-        if front.isEmpty():
+        front, n = stage_counted(died.select("page_id", F.lit(depth).alias("depth")))
+        if not n:
             break
         gone = gone.unionByName(front)
     return gone

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/slotframe"
@@ -20,3 +21,10 @@ def stage(df: DataFrame, what: str = "table") -> DataFrame:
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_counted(df: DataFrame, what: str = "table") -> tuple[DataFrame, int]:
+    """``stage``, and the number of rows, which is counted as they are written."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), what)
+    return out, seen.get["rows"]
