@@ -51,7 +51,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         text = b.column("text").cast(pa.large_binary())
         found = np.array([fingerprint(x.as_py() or b"") for x in text], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+        rest = b.drop_columns("text")
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found)], [*rest.schema.names, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -59,6 +60,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _hashed_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, sha (of the text, as ``_sha`` gives it) and fp of each row."""
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _sha(F.col("text")).alias("sha"), "text")
+    return rows.mapInArrow(_fingerprints, "doc_id long, sha string, fp long")
+
+
+def _sha(text: Column) -> Column:
+    """Null counts as empty, as it does in fingerprints."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of a bit pattern in the Gray code's order."""
     x = x.copy()
@@ -201,11 +213,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each component; one row of a repeated doc_id."""
-    def keys(doc_id: Column) -> list[Column]:
-        return [F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("_k"), doc_id.isNull().alias("_null")]
-
-    keep = near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*keys(F.col("doc_id"))).distinct()
-    rows = docs.select(F.struct("*").alias("row"), *keys(docs["doc_id"]))
-    first = F.row_number().over(Window.partitionBy("_k", "_null").orderBy("_k"))
-    return rows.join(keep, ["_k", "_null"]).withColumn("_n", first).filter("_n = 1").select("row.*")
+    """``docs`` with one row of each component: that of the smallest doc_id, nulls last, then of the smallest text hash.
+
+    Rows are told apart by doc_id and text, so null and repeated ids with different texts each count for the component
+    that their own text is in. Of rows that are equal in both, that with the smallest digest of all columns stays.
+    """
+    rows = stage(_hashed_fingerprints(docs), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "sha")
+    names = stage(rows.groupBy("fp").agg(F.min(first).alias("least")), "distinct-fingerprints")
+    linked = stage(connected_components(linked_fingerprints(names.select("fp"))), "components")
+    named = names.join(linked, names["fp"] == linked["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+
+    def keys(doc_id: Column, sha: Column) -> list[Column]:
+        return [F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("_k"), doc_id.isNull().alias("_null"), sha.alias("_sha")]
+
+    keep = named.groupBy("root").agg(F.min("least").alias("x")).select(*keys(F.col("x.doc_id"), F.col("x.sha")))
+    kept = docs.select(F.struct("*").alias("row"), *keys(docs["doc_id"], _sha(docs["text"]))).join(keep, ["_k", "_null", "_sha"])
+    one = F.row_number().over(Window.partitionBy("_k", "_null", "_sha").orderBy(F.md5(F.col("row").cast("string"))))
+    return kept.withColumn("_n", one).filter("_n = 1").select("row.*")

@@ -110,6 +110,17 @@ def test_near_copies_of_nothing_and_dropping(spark):
     assert left == {c for *_, c in brute_components(rows)}
 
 
+def test_dropping_with_null_and_repeated_ids(spark):
+    """Every component keeps exactly one row, whatever ids its rows have."""
+    unlike = lambda i: " ".join(f"u{i}w{k}" for k in range(200))
+    assert simhash.drop_near_copies(docs(spark, [(None, unlike(i)) for i in range(20)])).count() == 20
+    near = unlike(3) + " more"
+    rows = [(3, unlike(3)), (5, near), (5, unlike(5)), (5, unlike(6)), (6, unlike(6)), (7, unlike(7)), (7, unlike(7)), (None, unlike(7)), (None, unlike(8)), (None, None), (None, "")]
+    assert (slow_fingerprint(near) ^ slow_fingerprint(unlike(3))).bit_count() <= 3
+    left = [(r["doc_id"], r["text"] or "") for r in simhash.drop_near_copies(docs(spark, rows)).collect()]
+    assert sorted(left, key=str) == sorted([(3, unlike(3)), (5, unlike(5)), (5, unlike(6)), (7, unlike(7)), (None, unlike(8)), (None, "")], key=str)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_index_finds_all_pairs(seed):
     g = np.random.default_rng(seed)
