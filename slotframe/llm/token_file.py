@@ -140,15 +140,22 @@ def decode_bits(data: np.ndarray, offsets: np.ndarray, n: int, block: int, c: Co
 
 
 @cache
-def _tokenizer(path: str):
+def _tokenizer(path: str, special: bool = False):
+    """``special``: the strings of special tokens in a text are those tokens, as the library has it; else ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    t.encode_special_tokens = not special
     return t
 
 
+@cache
+def _added(path: str) -> tuple[str, ...]:
+    """The strings of the tokens that were added to the vocabulary; a text that holds one is left whole."""
+    return tuple(x.content for x in _tokenizer(path).get_added_tokens_decoder().values())
+
+
 @cache
 def _lengths_of(path: str) -> np.ndarray:
     """Bytes of each id's piece; a byte-level vocabulary has one character a byte."""
@@ -207,11 +214,11 @@ def _learn_words(path: str, memory: _Memory, words: list[str], kind: type) -> No
     known.update((w, known[stem] + memory.tails.known[tail]) for w, stem, tail in split)
 
 
-def _whole(path: str, text: str, kind: type) -> bytes:
-    return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, kind).tobytes()
+def _whole(path: str, text: str, kind: type, special: bool = False) -> bytes:
+    return np.array(_tokenizer(path, special).encode(text, add_special_tokens=False).ids, kind).tobytes()
 
 
-def encode_texts(texts: list[str], path: str, end_id: int, kind: type) -> list[bytes]:
+def encode_texts(texts: list[str], path: str, end_id: int, kind: type, special: bool = False) -> list[bytes]:
     """The ids of each text and ``end_id``, as little-endian integers of ``kind``."""
     memory = _memories.setdefault(f"{path}{kind}", _Memory())
     memory.words.turn()
@@ -220,15 +227,16 @@ def encode_texts(texts: list[str], path: str, end_id: int, kind: type) -> list[b
     cut: list[list[str] | None] = []
     for text in texts:
         in_a_row = any(map(text.__contains__, _IN_A_ROW)) or not text.isascii() and any(map(text.__contains__, _IN_A_ROW_BEYOND))
-        cut.append(None if in_a_row or text[-1:] == " " else text.split(" "))  # white space in a row: left whole
+        whole = in_a_row or text[-1:] == " " or any(map(text.__contains__, _added(path)))  # white space in a row: left whole
+        cut.append(None if whole else text.split(" "))
     heads = memory.heads.missing(parts[0] for parts in cut if parts)
     memory.heads.known.update((x, _whole(path, x, kind)) for x in heads)
     _learn_words(path, memory, memory.words.missing(chain.from_iterable(parts[1:] for parts in cut if parts)), kind)
     of, head_of = memory.words.known.__getitem__, memory.heads.known
-    return [_whole(path, text, kind) + end if parts is None else head_of[parts[0]] + b"".join(map(of, parts[1:])) + end for text, parts in zip(texts, cut)]
+    return [_whole(path, text, kind, special) + end if parts is None else head_of[parts[0]] + b"".join(map(of, parts[1:])) + end for text, parts in zip(texts, cut)]
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, special: bool = False) -> DataFrame:
     """doc_id and ids (packed integers) of each row; null texts are empty."""
     kind = _kind(tokenizer_path)
 
@@ -237,7 +245,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
                 texts = [x or "" for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encode_texts(texts, tokenizer_path, end_id, kind), pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encode_texts(texts, tokenizer_path, end_id, kind, special), pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -388,16 +396,17 @@ class TokenSource(DataSource):
         return TokenWriter(dict(self.options))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, special: bool = False) -> None:
     """Encode ``docs`` (doc_id, text) and write the ids to the folder ``path`` in ascending doc_id order, null first.
 
     Two passes: ids are written aside once, counted over all documents for the codes, then sorted by range and coded.
-    Rows of one doc_id keep no order among themselves but that of their ids.
+    Rows of one doc_id keep no order among themselves but that of their ids. With ``special`` the strings of special
+    tokens in a text become those tokens' ids, which is the library's default; else they are ordinary text.
     """
     spark = docs.sparkSession
     spark.dataSource.register(TokenSource)
     kind = _kind(tokenizer_path)
-    tokens = stage(tokenize(docs, tokenizer_path, end_id), "tokens", compression="zstd")
+    tokens = stage(tokenize(docs, tokenizer_path, end_id, special), "tokens", compression="zstd")
     counts = count_ids(tokens, len(_lengths_of(tokenizer_path)), kind)
     limit = max(SHORTEST_LIMIT, int(np.count_nonzero(counts) - 1).bit_length() if counts.any() else 1)
     files.write_bytes(f"{path}/codes.bin", code_lengths(counts, limit).tobytes())
@@ -414,8 +423,9 @@ def token_digest(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     """Write token files of ``docs`` and read them back: doc_id, start, n_tokens, ids_crc32, a row for each row.
 
     Nulls and ties: a null text is empty and has the end id alone; null doc_ids come first; repeated ids are
-    neighbours, in the order of their ids as bytes. An empty table gives an empty result. Only the two columns named are read.
+    neighbours, in the order of their ids as bytes. Strings of special tokens get those tokens' ids, as the library gives
+    them by default. An empty table gives an empty result. Only the two columns named are read.
     """
     path = new_path(docs.sparkSession, "token-ids")
-    write_token_files(docs, path, tokenizer_path, end_id)
+    write_token_files(docs, path, tokenizer_path, end_id, special=True)
     return read_token_files(docs.sparkSession, path, ids="crc32").select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -81,6 +81,21 @@ def test_token_files(spark, tmp_path):
     assert sorted(((r["doc_id"], r["ids"]) for r in got), key=str) == want
 
 
+def test_digest_of_special_tokens(spark):
+    """Their strings in a text get the ids that the library gives by default."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTES)
+    texts = ["plain words", "end <|endoftext|>", "end<|endoftext|>next one", "<|endoftext|>", "a  b <|endoftext|> c", "x <|endoftext|>, <|endoftext |>", "end again"]
+    got = token_file.token_digest(docs(spark, list(enumerate(texts))), BYTES).orderBy("doc_id").collect()
+    start = 0
+    for text, r in zip(texts, got, strict=True):
+        ids = t.encode(text, add_special_tokens=False).ids + [2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4")))
+        start += len(ids)
+    assert t.encode(texts[1], add_special_tokens=False).ids[-2:] == [220, 50256]
+
+
 def test_token_files_of_nothing(spark):
     assert token_file.token_digest(docs(spark, []), BYTES).collect() == []
 
