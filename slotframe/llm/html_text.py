@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is no text.
-SILENT = "script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|title"
+#: Elements whose content is no text. What stands in a raw one is no markup, so without an end it takes the rest of the
+#: page (a title within svg may be self-closed); of the others only the tag goes then.
+RAW = "script|style|title(?![^<>]*/>)"
+SILENT = frozenset("noscript template iframe object svg canvas audio video annotation annotation-xml".split())
 #: Comments, silent elements, and tags; quoted values may hold a >. Possessive, and values end before a <, so that no
 #: page is scanned over and over.
 _PARTS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<[!?/]?[a-zA-Z!?](?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+(?:>|\Z)|<[!?/]?[a-zA-Z!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
@@ -25,7 +27,8 @@ _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: Elements that don't end a block. Fixed values.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
 #: Elements that hold others and so give their blocks a place. Fixed values.
 CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table menu dialog figure details fieldset button select textarea".split())
 #: Containers of what isn't the article, and words in a class, id or role that say the same. Fixed values.
@@ -162,6 +165,22 @@ def _is_boiler(tag: str, name: str) -> bool:
     return bool("=" in tag and _marks(tag) & BOILER_WORDS) and name not in ("article", "main") or bool(_HIDDEN.search(tag))
 
 
+def _silences(tags: list[re.Match]) -> dict[int, int]:
+    """Where each silent element that has an end tag begins and ends; an end tag belongs to the nearest open one."""
+    opened: dict[str, list[int]] = {}
+    out: dict[int, int] = {}
+    for m in tags:
+        tag = m.group()
+        if m.group(1) or not (name := _NAME.match(tag)) or (n := name.group(1).lower()) not in SILENT:
+            continue
+        if tag[1] != "/":
+            if n != "svg" or not tag.endswith("/>"):
+                opened.setdefault(n, []).append(m.start())
+        elif opened.get(n):
+            out[opened[n].pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, with where they stand."""
     out: list[Block] = []
@@ -187,13 +206,19 @@ def blocks(page: str) -> list[Block]:
                 links.append(text)
 
     at = 0
-    for m in _PARTS.finditer(page):
+    tags = list(_PARTS.finditer(page))
+    silences = _silences(tags)
+    for m in tags:
+        if m.start() < at:  # within a silent element
+            continue
         say(page[at : m.start()])
-        at = m.end()
+        at = silences.get(m.start(), m.end())
         tag = m.group()
         if not (name := _NAME.match(tag)) or m.group(1):
             continue
         n, closing = name.group(1).lower(), tag[1] == "/"
+        if n in SILENT:
+            continue
         if n in INLINE:
             if n == "a":
                 anchor = 0 if closing else 1

@@ -155,6 +155,22 @@ def test_unclosed_quotes_do_not_stall():
     assert main_text("<!-" * 30_000 + "<script" * 30_000) is not None
 
 
+@pytest.mark.parametrize("odd", ["<svg class=i/>", "<svg viewBox='0 0 1 1'/>", "<svg>", "<iframe src=x>", "<object data=x>", "<video-player>", "<object-view>", "<title-bar>", "<noscript>", "<canvas/>", "<svg><title/></svg>"])
+def test_silent_elements_end(odd):
+    """An element without an end, or a name that only begins like a silent one, takes no text with it."""
+    page = f"<article><p>{LONG}</p>{odd}<p>{LONG} two</p>%s<p>{LONG} three</p></article>"
+    assert main_text(page % "") == f"{LONG}\n{LONG} two\n{LONG} three"
+    name = re.match(r"<([a-z]+)", odd)[1]
+    if name != "title":  # one that ends, after one that doesn't
+        assert main_text(page % f"<{name} id=y><g>inside</g></{name}>") == f"{LONG}\n{LONG} two\n{LONG} three"
+
+
+def test_formulas_stay():
+    page = f"<article><p>{LONG} <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='t'>x=2</annotation></semantics></math> holds.</p><math/><p>{LONG}</p></article>"
+    assert main_text(page) == f"{LONG} x=2 holds.\n{LONG}"
+    assert main_text(f"<article><p>{LONG}</p>" + "<svg>" * 30_000 + f"<p>{LONG}</p>") == f"{LONG}\n{LONG}"
+
+
 def test_marks_on_leaves_and_wrappers():
     page = f"""<body><div class="content has-sidebar"><p>{LONG}</p><p class="advert">{LONG} ad</p><div class="entry-content"><p>{LONG} two</p><p hidden>{LONG} hidden</p></div>
     <ul><li class="comment">{LONG} comment</li></ul><div style="display: none"><p>{LONG} none</p></div><div class="post-comments"><p>{LONG} more</p></div></div><div id="rightSidebar">{LONG}</div></body>"""
