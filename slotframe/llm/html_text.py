@@ -24,7 +24,7 @@ _PARTS = re.compile(
     re.S | re.I,
 )
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-_MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARKS = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: Elements that don't end a block. Fixed values.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
@@ -39,6 +39,14 @@ BOILER_WORDS = frozenset(
     "popup promo promoted promotion rail recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription tags teaser toc toolbar topbar warning widget widgets alert complementary contentinfo".split()
 )
+#: Of these, what a class says only as a whole name: site-header and alert-box do, article-header and social-history don't.
+VAGUE_WORDS = frozenset("ad ads alert banner comment dialog header notice notification notifications promoted rail recommended related reply search share skip social tags warning".split())
+#: Words beside those of BOILER_WORDS that a whole name may hold. Fixed values.
+PLACE_WORDS = frozenset(
+    "area bar block box bottom button buttons container form global group icons inner item items left link links list module my page panel posts articles stories primary right secondary section site the top wp wrap wrapper".split()
+)
+#: Words of a wrapper's name that don't count when it holds most of the page; talk and links may well be most of a page.
+LAYOUT_WORDS = frozenset("header menu modal nav navbar rail sidebar toolbar topbar widget widgets".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry post story maincontent".split())
 
 #: words, link density, words before, links before, words after, links after, in article, in boilerplate, heading; keep.
@@ -65,6 +73,23 @@ LABELLED = (
     (18, 0.1, 22, 0.0, 30, 0.0, 0, 0, 0, 1),
     (60, 0.2, 2, 1.0, 3, 1.0, 0, 0, 0, 1),
     (120, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (250, 0.0, 180, 0.0, 190, 0.0, 1, 1, 0, 1),
+    (250, 0.0, 180, 0.0, 190, 0.0, 0, 1, 0, 1),
+    (600, 0.0, 200, 0.0, 300, 0.0, 0, 1, 0, 1),
+    (30, 0.0, 25, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (26, 0.0, 40, 0.0, 4, 0.5, 0, 1, 0, 0),
+    (25, 0.0, 26, 0.0, 27, 0.0, 1, 1, 0, 0),
+    (60, 0.0, 70, 0.0, 8, 0.0, 1, 1, 0, 0),
+    (4, 0.0, 50, 0.0, 3, 0.0, 1, 1, 0, 0),
+    (35, 0.0, 3, 0.0, 1, 1.0, 0, 1, 0, 0),
+    (250, 0.9, 180, 0.0, 190, 0.0, 0, 1, 0, 0),
+    (300, 0.8, 200, 0.0, 150, 0.0, 1, 1, 0, 0),
+    (250, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0),
+    (600, 0.0, 20, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (5, 0.0, 60, 0.0, 260, 0.0, 0, 1, 0, 0),
+    (26, 0.0, 180, 0.0, 250, 0.0, 1, 1, 0, 0),
+    (90, 0.0, 2, 1.0, 240, 0.0, 0, 1, 0, 0),
+    (40, 0.0, 250, 0.0, 220, 0.0, 0, 1, 0, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0),
     (2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 0, 0),
     (40, 0.0, 2, 1.0, 60, 0.0, 0, 1, 0, 0),
@@ -143,26 +168,41 @@ class Block:
     article: bool
     boiler: bool
     heading: bool
+    hidden: bool
+    wrappers: tuple[int, ...]  # marked elements around it that don't count when they hold most of the page
 
 
-#: A class name that begins so tells of something beside, as in has-sidebar. Fixed values.
+#: A class name with one of these tells of something beside, as has-sidebar and content-with-sidebar do. Fixed values.
 _BESIDE = frozenset("has with without no is not".split())
 _HIDDEN = re.compile(r"\shidden(?=[\s>])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
-def _marks(tag: str) -> set[str]:
-    """The words in a tag's classes, id and role."""
-    out: set[str] = set()
-    for groups in _MARKS.findall(tag):
-        for name in "".join(groups).split():
-            parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
-            if parts and parts[0] not in _BESIDE:
-                out.update(parts)
-    return out
+def _words_of(name: str) -> list[str]:
+    """The words of a class, id, role or label; none where it tells of something beside."""
+    parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+    return [] if not parts or parts[0] == "layout" or _BESIDE.intersection(parts) else parts
 
 
-def _is_boiler(tag: str, name: str) -> bool:
-    return bool("=" in tag and _marks(tag) & BOILER_WORDS) and name not in ("article", "main") or bool(_HIDDEN.search(tag))
+def _marks(tag: str, heading: bool = False) -> tuple[set[str], set[str]]:
+    """The words in a tag's classes, id, role and label, and those of them that say boilerplate.
+
+    Ids and labels, and vague words of classes, count as whole names only; a heading's id is an anchor and doesn't count.
+    """
+    out: set[str] = set()
+    boiler: set[str] = set()
+    for m in _MARKS.finditer(tag):
+        kind, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        for name in [value] if kind == "aria-label" else value.split():
+            parts = _words_of(name)
+            found = BOILER_WORDS.intersection(parts)
+            whole = all(w in BOILER_WORDS or w in PLACE_WORDS or w.isdigit() for w in parts)
+            if kind in ("id", "aria-label"):
+                found = found if whole and not heading else set()
+            elif not whole:
+                found = found - VAGUE_WORDS
+            out.update(parts)
+            boiler |= found
+    return out, boiler
 
 
 def _silences(tags: list[re.Match]) -> dict[int, int]:
@@ -184,18 +224,19 @@ def _silences(tags: list[re.Match]) -> dict[int, int]:
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, with where they stand."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, in article, in boilerplate
+    stack: list[tuple[str, bool, bool, bool, bool, tuple[int, ...]]] = [("", False, False, False, False, ())]  # name, in article, in boilerplate for good, by a mark, hidden, wrappers
     parts: list[str] = []
     links: list[str] = []
     anchor = head = 0
-    heading = leaf = False  # of the block at hand: whether it is a heading, whether its own tag says boilerplate
+    heading = leaf = unseen = False  # of the block at hand: whether it is a heading, whether its own tag says boilerplate or hides it
+    wrappers = 0
 
     def end() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             linked = len(html.unescape(" ".join(links)).split())
-            _, article, boiler = stack[-1]
-            out.append(Block(text, text.count(" ") + 1, linked, article, boiler or leaf, heading))
+            _, article, fixed, marked, hidden, around = stack[-1]
+            out.append(Block(text, text.count(" ") + 1, linked, article, fixed or marked or leaf, heading, hidden or unseen, around))
         parts.clear()
         links.clear()
 
@@ -232,22 +273,43 @@ def blocks(page: str) -> list[Block]:
         elif n == "body":
             head = 0
         heading = n in ("h1", "h2", "h3", "h4", "h5", "h6") and not closing
-        leaf = False
+        leaf = unseen = False
+        root = n in ("html", "body")
         if n not in CONTAINERS or tag.endswith("/>"):
-            leaf = not closing and n not in ("html", "body") and _is_boiler(tag, n)
+            leaf = not closing and not root and "=" in tag and bool(_marks(tag, heading)[1])
+            unseen = not closing and bool(_HIDDEN.search(tag))
             continue
         if closing:
             if any(x[0] == n for x in stack):
                 while stack.pop()[0] != n:
                     pass
             continue
-        _, article, boiler = stack[-1]
-        marks = _marks(tag) if n not in ("html", "body") else set()
+        _, article, fixed, marked, hidden, around = stack[-1]
+        marks, says = _marks(tag) if "=" in tag and not root else (set(), set())
+        if n in ("article", "main"):  # the outermost one clears what a name or form around it says; a main, all
+            says = set()
+            marked, around = marked and article, around if article else ()
+            fixed = fixed and n != "main"
+        hidden = hidden or not root and bool(_HIDDEN.search(tag))
         own = n in ("article", "main") or bool(marks & ARTICLE_WORDS)
-        bad = n in BOILER_TAGS or n == "header" and not article or n not in ("html", "body") and _is_boiler(tag, n)
-        stack.append((n, article or own and not bad, boiler or bad))
+        if n == "form" and not says or says and says <= LAYOUT_WORDS and n not in BOILER_TAGS and n != "header":
+            wrappers += 1
+            around = (*around, wrappers)
+            bad = False
+        else:
+            bad = n == "header" and not article or bool(says)
+            marked = marked or bad
+        place = n in BOILER_TAGS and n != "form"
+        stack.append((n, article or own and not (place or bad), fixed or place, marked, hidden, around))
     say(page[at:])
     end()
+    held: dict[int, int] = {}
+    for b in out:
+        for w in b.wrappers:
+            held[w] = held.get(w, 0) + b.words - b.link_words
+    most = sum(b.words - b.link_words for b in out if not b.hidden) / 2
+    for b in out:
+        b.boiler = b.boiler or any(held[w] <= most for w in b.wrappers)
     return out
 
 
@@ -259,7 +321,7 @@ def main_text(page: str | None) -> str:
     for i, b in enumerate(found):
         before = (found[i - 1].words, density[i - 1]) if i else (0, 0.0)
         after = (found[i + 1].words, density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        if keeps(tree(), (b.words, density[i], *before, *after, int(b.article), int(b.boiler), int(b.heading))):
+        if not b.hidden and keeps(tree(), (b.words, density[i], *before, *after, int(b.article), int(b.boiler), int(b.heading))):
             kept.append(b.text)
     return "\n".join(kept)
 

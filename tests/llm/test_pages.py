@@ -175,3 +175,38 @@ def test_marks_on_leaves_and_wrappers():
     page = f"""<body><div class="content has-sidebar"><p>{LONG}</p><p class="advert">{LONG} ad</p><div class="entry-content"><p>{LONG} two</p><p hidden>{LONG} hidden</p></div>
     <ul><li class="comment">{LONG} comment</li></ul><div style="display: none"><p>{LONG} none</p></div><div class="post-comments"><p>{LONG} more</p></div></div><div id="rightSidebar">{LONG}</div></body>"""
     assert main_text(page) == f"{LONG}\n{LONG} two"
+
+
+def test_wrappers_around_an_article_are_no_boilerplate():
+    text = "".join(f"<p>{LONG} {i}</p>" for i in range(4))
+    want = "\n".join(f"{LONG} {i}" for i in range(4))
+    side = f"<div class='sidebar'>{LONG} side</div>"
+    for around in ("<form id='aspnetForm' method='post'>", "<div class='content-with-sidebar'>", "<div class='layout-right-sidebar'>", "<div class='page-sidebar'>"):
+        assert main_text(f"<body>{around}<div>{text}</div>{side}</{around[1:5].strip()}></body>") == want
+    for around in ("<div class='comments'>", "<form class='search'>", "<div class='ad'>"):
+        name = around[1:5].strip()
+        assert main_text(f"<body>{around}<article>{text}</article></{name}></body>") == want
+        assert main_text(f"<body><article>{text}{around}<article>{LONG} more</article></{name}></article></body>") == want
+    assert main_text(f"<body><div style='display:none'><article>{text}</article></div></body>") == ""
+    assert main_text(f"<body><nav><article>{text}</article></nav></body>") == ""
+
+
+@pytest.mark.parametrize("mark", ["section id='social-history'", "section aria-label='Search algorithms'", "div class='article-header'", "section class='warning-signs'", "section id='rail-transport'", "div data-id='comments'"])
+def test_real_sections_stay(mark):
+    page = f"<article><p>{LONG}</p><{mark}><h2 id='related-work'>Related work</h2><h3 id='comments'>On comments</h3><p>{LONG} two</p></{mark.split()[0]}><p>{LONG} end</p></article>"
+    assert main_text(page) == f"{LONG}\nRelated work\nOn comments\n{LONG} two\n{LONG} end"
+
+
+@pytest.mark.parametrize("mark", ["div class='site-header'", "div id='comments'", "div class='social-links'", "section aria-label='Related posts'", "div class='post-comments'", "div role='search'", "div class='alert-box'"])
+def test_boilerplate_goes(mark):
+    page = f"<article><p>{LONG}</p><p>{LONG} two</p><{mark}><p>{LONG} gone</p></{mark.split()[0]}><p>{LONG} end</p></article>"
+    assert main_text(page) == f"{LONG}\n{LONG} two\n{LONG} end"
+
+
+def test_much_text_outweighs_a_mark():
+    much = " ".join([LONG] * 10)
+    linked = " ".join(f"<a href='/{i}'>Link number {i}</a>" for i in range(100))
+    assert main_text(f"<article><p>{much} 1</p><div class='related'><p>{much} 2</p></div><p>{much} 3</p></article>") == f"{much} 1\n{much} 2\n{much} 3"
+    assert main_text(f"<article><p>{much} 1</p><nav>{linked}</nav><p>{much} 3</p></article>") == f"{much} 1\n{much} 3"
+    assert main_text(f"<article><p>{LONG}</p></article><footer>{much}</footer>") == LONG
+    assert main_text(f"<article><p>{much} 1</p><div class='cookie-notice'>{LONG}</div><p>{much} 3</p></article>") == f"{much} 1\n{much} 3"
