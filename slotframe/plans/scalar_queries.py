@@ -158,9 +158,14 @@ def crc64(spark, d):
 
 @query()
 def true_crc64(spark, d):
-    """The checksum of a block without its last 8 bytes, in which the block keeps it."""
-    block = F.rpad(F.concat(F.col("url"), F.lit("|")), 4096, "0")
-    return _t(spark, d, "pages").select("page_id", crc64_hex(F.substring(block, 1, 4088)).alias("crc64"))
+    """The checksum of a block without its last 8 bytes, in which the block keeps it.
+
+    A block has 4096 bytes, or the next power of two that holds the whole url.
+    """
+    head = F.concat(F.col("url"), F.lit("|"))
+    rows = _t(spark, d, "pages").select("page_id", head.alias("head"), F.octet_length(head).alias("n"))
+    fill = F.expr("repeat('0', CAST(greatest(4096, shiftleft(1L, length(bin(n + 7)))) - 8 - n AS INT))")
+    return rows.select("page_id", crc64_hex(F.concat("head", fill)).alias("crc64"))
 
 
 @query("SELECT page_id, starts_with(url, 'https://') AS matched, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS rest FROM pages")

@@ -53,3 +53,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["kind", "n", "first_lower", "last_upper", "bytes"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_true_crc64_covers_long_urls(spark, tmp_path):
+    from slotframe.functions.codecs import crc64_all
+
+    urls = ["http://a.org/", "http://a.org/" + "x" * 4066, "http://a.org/" + "x" * 4074, "http://a.org/" + "x" * 4075, "y" * 5000 + "1", "y" * 5000 + "2", "é" * 3000]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [r["crc64"] for r in QUERIES["true_crc64"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    want = []
+    for u in urls:
+        data, size = f"{u}|".encode(), 4096
+        while size < len(data) + 8:
+            size *= 2
+        want.append(f"{int(crc64_all([data.ljust(size - 8, b'0')])[0]):016x}")
+    assert got == want and len(set(got)) == len(urls)
