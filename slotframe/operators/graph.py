@@ -9,6 +9,7 @@ from slotframe.operators.staging import stage, stage_counted
 
 #: A page that is deleted goes from count 1 to 0 by this delta, whatever else is added.
 DROP = -(1 << 31)
+#: Deepest release of a recycled page. A traversal has no such bound.
 MAX_DEPTH = 32
 
 
@@ -17,7 +18,7 @@ def out_refs(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return edges.join(pages.select(F.col("page_id").alias("src")), "src", "left_semi")
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """page_id and depth of every page that the roots lead to, roots included, by the shortest way.
 
     A frontier step is one equi-join and one anti join; each frontier is written before the next step, so the plan
@@ -32,6 +33,8 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = MAX_DEPTH)
         if not n:
             break
         seen = seen.unionByName(front)
+        if depth % MAX_DEPTH == 0:  # a deep graph's union stays short
+            seen = stage(seen)
     return seen
 
 

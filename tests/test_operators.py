@@ -176,3 +176,11 @@ def test_log_bytes(spark, tmp_path):
     got = raw_log.parse(raw_log.read_segments(spark, str(tmp_path))).orderBy("slot_lower").collect()
     want = framed.orderBy("seq").collect()
     assert [(r["slot_lower"], r["slot_upper"], r["header_size"], bytes(r["payload"]).decode()) for r in got] == [(r["slot_lower"], r["slot_upper"], r["header_size"], r["body"]) for r in want]
+
+
+def test_traversals_have_no_depth_bound(spark):
+    n = 36
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long").coalesce(1)
+    p = lambda ids: spark.createDataFrame([(i,) for i in ids], "page_id long").coalesce(1)
+    assert {tuple(x) for x in graph.reach(e, p([0])).collect()} == {(i, i) for i in range(n + 1)}
+    assert [x[0] for x in graph.unreachable(p([1, n, n + 1]), p([0]), e).collect()] == [n + 1]
