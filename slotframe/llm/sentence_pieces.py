@@ -15,14 +15,14 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotframe.llm.word_cache import WordCache
+from slotframe.llm.common import text_batches
+from slotframe.llm.word_cache import WordCache, gather, runs
 
 SPACE = "▁"
 #: Characters of new words that are indexed at once; words longer than LONG are relaxed one by one.
@@ -70,6 +70,24 @@ def load(path: str) -> Model:
     return Model(pieces, scores, kinds, byte_ids, splits, longest, normal, chars, rank, np.uint16 if n <= 1 << 16 else np.uint32)
 
 
+#: Texts that a model with normalisation rules, other spacing or another merge rule would encode differently.
+_PROBES = ("  a  b ", " x\t\u00a0y\u3000z ", "ﬁ½ ℌ e\u0301 \x01", "a▁b", "0123456789 " * 3)
+
+
+@cache
+def check(path: str) -> None:
+    """Raise where the file isn't a model of the kind that is built here, as its own library tells on probe texts."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    m = load(path)
+    long = sorted((m.pieces[i].replace(SPACE, " ").strip() for i in m.normal), key=lambda x: (-len(x), x))[:256]
+    texts = [*_PROBES, " ".join(long), "".join(long), " ".join(x[1:] + x[:1] for x in long)]
+    got = [x.tolist() for ids, counts in encode_texts(pa.array(texts), path) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    if got != sp.encode(texts):
+        raise ValueError(f"{path}: only pair-merge models without normalisation rules are supported")
+
+
 class Edges:
     """All occurrences of the model's pieces in the indexed text, by position and then length."""
 
@@ -254,34 +272,45 @@ def segment(units: list[str], m: Model) -> list[bytes]:
 _caches: dict[str, WordCache] = {}
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text, packed; an empty text has none."""
-    m = load(path)
-    cache_of = _caches.setdefault(path, WordCache())
-    cache_of.turn()
-    known = cache_of.known
-    cut: list[list[str]] = []
-    for text in texts:
-        marked = text.replace(" ", SPACE)
-        if not text:
-            parts = []
-        elif not m.splits:
-            parts = [marked]
-        elif SPACE + SPACE in marked or marked[0] == SPACE or marked[-1] == SPACE:
-            parts = [x[1:] for x in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + marked)]
-        else:
-            parts = marked.split(SPACE)
-        cut.append(parts)
-    units, size = [], 0
-    for p in [*cache_of.missing(chain.from_iterable(cut)), None]:
-        if p is None or size + len(p) > INDEX_CHARS and units:
-            if units:
-                known.update(zip(units, segment([SPACE + u for u in units], m)))
-            units, size = [], 0
-        if p is not None:
-            units.append(p)
-            size += len(p) + 2
-    return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with the space before each that the model adds; an empty text has none."""
+    full = offsets[1:] > offsets[:-1]
+    return np.insert(data, offsets[:-1][full], 32), offsets + np.concatenate([[0], np.cumsum(full)])
+
+
+def _learn(units: list[bytes], m: Model) -> list[bytes]:
+    """The ids of each unit, as many units indexed at once as INDEX_CHARS allows."""
+    texts = [u.decode().replace(" ", SPACE) for u in units]
+    out: list[bytes] = []
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size + len(t) > INDEX_CHARS and i > begin:
+            out += segment(texts[begin:i], m)
+            begin, size = i, 0
+        size += len(t) + 1
+    return out + segment(texts[begin:], m)
+
+
+def _encoded(text: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of the texts: all ids, the number of ids of each text, the marked texts and their offsets."""
+    m, cache_of = load(path), _caches.setdefault(path, WordCache())
+    for data, offsets in runs(text):
+        whole = data, offsets = _marked(data, offsets)
+        if SPACE.encode() in data.tobytes():  # the mark itself is a space like others
+            texts = [data[a:z].tobytes().replace(SPACE.encode(), b" ") for a, z in zip(offsets, offsets[1:])]
+            data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        cut = np.zeros(len(data) + 1, bool)
+        if m.splits:
+            cut[:-1] = data == 32
+            cut[1:-1] &= data[:-1] != 32
+        cut[offsets] = False
+        yield *gather(data, offsets, np.flatnonzero(cut), lambda units: cache_of.encode(units, lambda new: _learn(new, m)), b"", m.kind), *whole
+
+
+def encode_texts(text: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of the texts: all ids, and the number of ids of each text; an empty text has none."""
+    for ids, counts, _, _ in _encoded(text, path):
+        yield ids, counts
 
 
 @cache
@@ -296,6 +325,21 @@ def _spelling(path: str) -> list[bytes]:
     return out
 
 
+@cache
+def _spelled(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spellings in a row, and where each begins and how long it is."""
+    size = np.array([len(x) for x in _spelling(path)], np.int64)
+    return np.frombuffer(b"".join(_spelling(path)), np.uint8), np.cumsum(size) - size, size
+
+
+def spell(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that the ids stand for, in a row, and where those of each id end."""
+    flat, begin, size = _spelled(path)
+    length = size[ids]
+    upto = np.cumsum(length)
+    return flat[np.repeat(begin[ids] - upto + length, length) + np.arange(int(upto[-1]) if len(ids) else 0)], upto
+
+
 def decode_ids(ids: list[int], path: str) -> str:
     """The text of the ids, without the space that encoding puts before it."""
     text = b"".join(map(_spelling(path).__getitem__, ids)).decode("utf-8", "replace")
@@ -304,18 +348,17 @@ def decode_ids(ids: list[int], path: str) -> str:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array<int>) of each row of ``docs`` (doc_id, text). Null and empty texts have no ids."""
-    kind = load(path).kind
+    check(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                packed = encode_texts([x or "" for x in part.column("text").to_pylist()], path)
-                flat = np.frombuffer(b"".join(packed), kind).astype(np.int32)
-                ends = np.cumsum([0, *(len(x) // np.dtype(kind).itemsize for x in packed)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
+            done = 0
+            for ids, counts in encode_texts(b.column("text"), path):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(counts)), lists], ["doc_id", "ids"])
+                done += len(counts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -338,16 +381,22 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     for a space. Nulls and ties: null and empty texts have no tokens, crc 0, and are restored as empty; null ids are
     passed on, repeated rows are each encoded. An empty table gives an empty result. No shuffle.
     """
-    kind = load(path).kind
+    check(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                found = [np.frombuffer(x, kind) for x in encode_texts(texts, path)]
-                same = [decode_ids(x.tolist(), path) == t for x, t in zip(found, texts)]
-                columns = [pa.array([len(x) for x in found], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in found], pa.int64()), pa.array(same)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_crc32", "restored"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, restored boolean")
+            done = 0
+            for ids, counts, data, offsets in _encoded(b.column("text"), path):
+                ends = np.cumsum(counts)
+                begins = ends - counts
+                wide = memoryview(ids.astype("<u4")).cast("B")
+                back, upto = spell(ids, path)
+                upto = np.concatenate([[0], upto])
+                back, texts = memoryview(back), memoryview(data)
+                same = [back[a:z] == texts[p:q] for a, z, p, q in zip(upto[begins].tolist(), upto[ends].tolist(), offsets.tolist(), offsets[1:].tolist())]
+                crcs = [zlib.crc32(wide[4 * a : 4 * z]) for a, z in zip(begins.tolist(), ends.tolist())]
+                columns = [pa.array(counts), pa.array(crcs, pa.int64()), pa.array(same)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(counts)), *columns], ["doc_id", "n_tokens", "ids_crc32", "restored"])
+                done += len(counts)
+
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, restored boolean")

@@ -9,13 +9,12 @@ the bit offset of each block (u64); the bits, first bit highest, padded to 8 byt
 from __future__ import annotations
 
 import os
-import string
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
+from itertools import compress
 from typing import Any
 
 import numpy as np
@@ -27,8 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from slotframe.llm import files
-from slotframe.llm.common import new_path, stage
-from slotframe.llm.word_cache import WordCache
+from slotframe.llm.common import new_path, stage, text_batches
+from slotframe.llm.word_cache import WordCache, gather, runs
 
 MAGIC = 0x3146554853444954
 BLOCK_IDS = 512
@@ -166,88 +165,115 @@ def _lengths_of(path: str) -> np.ndarray:
     return out
 
 
-class _Memory:
-    """What a worker knows of one tokenizer: ids of words after a space, of words that begin a text, of sign runs."""
+_caches: dict[str, WordCache] = {}
 
-    def __init__(self) -> None:
-        self.words, self.heads, self.tails = WordCache(), WordCache(20_000), WordCache(20_000)
 
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for a, z in ranges:
+        out[a : z + 1] = True
+    return out
+
+
+#: ASCII bytes by what the tokenizer's own splitting makes of them.
+_WHITE, _LETTER, _SIGN = _bytes((9, 13), (28, 32)), _bytes((65, 90), (97, 122)), _bytes((33, 47), (58, 64), (91, 96), (123, 126))
+_BLACK = _bytes((33, 126))
+_LEAD = 0xC3  # leads the letters À to ÿ, and × and ÷
+_NOT_LETTERS = (0x97, 0xB7)
+
+
+def _wide_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether white space beyond ASCII stands before each position."""
+    p1, p2, p3 = data[at - 1], data[at - 2], data[at - 3]
+    out = (p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))
+    out |= (p3 == 0xE2) & (p2 == 0x80) & ((p1 <= 0x8A) | (p1 == 0xA8) | (p1 == 0xA9) | (p1 == 0xAF)) & (p1 >= 0x80)
+    out |= (p3 == 0xE2) & (p2 == 0x81) & (p1 == 0x9F)
+    return out | (p3 == 0xE1) & (p2 == 0x9A) & (p1 == 0x80) | (p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80)
 
-_memories: dict[str, _Memory] = {}
-#: A space after a character that isn't white space always begins a new piece, so texts without these may be cut there.
-_IN_A_ROW = [chr(c) + " " for c in (*range(9, 14), *range(28, 33))]
-_IN_A_ROW_BEYOND = [chr(c) + " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-#: After letters alone, a run of these is a piece of its own.
-_SIGNS = string.punctuation
 
+def _cuts(data: np.ndarray, offsets: np.ndarray, added: tuple[bytes, ...]) -> np.ndarray:
+    """Where texts are cut: only where the tokenizer itself always begins a new piece.
 
-def _learn(path: str, units: list[str], kind: type) -> list[bytes]:
-    """Ids of the units, which begin with a space and hold no other: many in one string, cut where its spaces are."""
-    t, width = _tokenizer(path), _lengths_of(path)
+    That is at a space after another character, at a sign after a letter, and after a line feed between two visible
+    characters. A text with white space before a space or a space at its end, or with an added token, is left whole.
+    """
+    n = len(offsets) - 1
+    if not len(data):
+        return np.zeros(0, np.int64)
+    cut = np.zeros(len(data) + 1, bool)
+    after, before = data[1:], data[:-1]
+    cut[1:-1] = _SIGN[after] & _LETTER[before]
+    latin = np.flatnonzero(before == _LEAD) + 1
+    latin = latin[latin + 1 < len(data)]
+    cut[latin + 1] |= _SIGN[data[latin + 1]] & (data[latin] != _NOT_LETTERS[0]) & (data[latin] != _NOT_LETTERS[1])
+    feeds = np.flatnonzero(data == 10)
+    feeds = feeds[(feeds > 0) & (feeds + 1 < len(data))]
+    cut[feeds + 1] |= _BLACK[data[feeds - 1]] & (_BLACK[data[feeds + 1]] | (data[feeds + 1] == _LEAD))
+    spaces = np.flatnonzero(data == 32)
+    cut[spaces] = True
+    starts = np.zeros(len(data) + 1, bool)
+    starts[offsets] = True
+    cut[starts] = False
+    inner = spaces[~starts[spaces]]
+    bad = inner[_WHITE[data[inner - 1]] | _wide_white(data, inner)]
+    whole = np.zeros(n, bool)
+    whole[np.searchsorted(offsets, bad, "right") - 1] = True
+    whole |= (offsets[1:] > offsets[:-1]) & (data[offsets[1:] - 1] == 32)
+    blob = data.tobytes() if added else b""
+    for x in added:
+        at = blob.find(x)
+        while at >= 0:
+            whole[np.searchsorted(offsets, at, "right") - 1] = True
+            at = blob.find(x, at + 1)
+    for i in np.flatnonzero(whole):
+        cut[offsets[i] : offsets[i + 1]] = False
+    return np.flatnonzero(cut)
+
+
+def _learn(path: str, units: list[bytes], kind: type, special: bool) -> list[bytes]:
+    """Ids of the units. Those that begin with a space, hold no other and end visibly go many in one string, cut where its spaces are."""
+    t, width = _tokenizer(path, special), _lengths_of(path)
+    spaced = [len(u) > 1 and u[0] == 32 and u.rfind(b" ") == 0 and (33 <= u[-1] < 127 or not u.decode()[-1].isspace()) for u in units]
+    words, others = list(compress(units, spaced)), [u.decode() for u, s in zip(units, spaced) if not s]
     out: list[bytes] = []
-    for i in range(0, len(units), 1 << 14):
-        runs = ["".join(units[j : j + 256]) for j in range(i, min(len(units), i + (1 << 14)), 256)]
-        for run, e in zip(runs, t.encode_batch_fast(runs, add_special_tokens=False)):
+    for i in range(0, len(words), 1 << 14):
+        joined = [b"".join(words[j : j + 256]) for j in range(i, min(len(words), i + (1 << 14)), 256)]
+        for run, e in zip(joined, t.encode_batch_fast([x.decode() for x in joined], add_special_tokens=False)):
             ids = np.array(e.ids, np.int64)
-            begins = np.flatnonzero(np.frombuffer(run.encode(), np.uint8) == 32)
+            begins = np.flatnonzero(np.frombuffer(run, np.uint8) == 32)
             before = np.cumsum(width[ids]) - width[ids]
             cuts = (np.append(np.searchsorted(before, begins), len(ids)) * np.dtype(kind).itemsize).tolist()
             packed = ids.astype(kind).tobytes()
             out += [packed[a:z] for a, z in zip(cuts, cuts[1:])]
-    return out
+    own = (np.array(e.ids, kind).tobytes() for i in range(0, len(others), 1 << 10) for e in t.encode_batch_fast(others[i : i + (1 << 10)], add_special_tokens=False))
+    learnt = iter(out)
+    return [next(learnt if s else own) for s in spaced]
 
 
-def _learn_words(path: str, memory: _Memory, words: list[str], kind: type) -> None:
-    """Letters with signs after them are two pieces, so that a word is encoded once whatever follows it."""
-    known, alone, split = memory.words.known, [], []
-    for w in words:
-        stem = w.rstrip(_SIGNS)
-        if len(stem) < len(w) and stem.isalpha():
-            split.append((w, stem, w[len(stem) :]))
-        else:
-            alone.append(w)
-    new = memory.words.missing({stem for _, stem, _ in split}.difference(alone)) + alone
-    known.update(zip(new, _learn(path, [f" {w}" for w in new], kind)))
-    memory.tails.turn()
-    tails = memory.tails.missing({tail for *_, tail in split})
-    memory.tails.known.update((x, _whole(path, x, kind)) for x in tails)
-    known.update((w, known[stem] + memory.tails.known[tail]) for w, stem, tail in split)
-
-
-def _whole(path: str, text: str, kind: type, special: bool = False) -> bytes:
-    return np.array(_tokenizer(path, special).encode(text, add_special_tokens=False).ids, kind).tobytes()
-
-
-def encode_texts(texts: list[str], path: str, end_id: int, kind: type, special: bool = False) -> list[bytes]:
-    """The ids of each text and ``end_id``, as little-endian integers of ``kind``."""
-    memory = _memories.setdefault(f"{path}{kind}", _Memory())
-    memory.words.turn()
-    memory.heads.turn()
+def encode_texts(text: pa.Array, path: str, end_id: int, kind: type, special: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of the texts: all ids, with ``end_id`` after each text, as integers of ``kind``; the number of ids of each text."""
+    cache = _caches.setdefault(f"{path}{kind}{special}", WordCache())
     end = np.array([end_id], kind).tobytes()
-    cut: list[list[str] | None] = []
-    for text in texts:
-        in_a_row = any(map(text.__contains__, _IN_A_ROW)) or not text.isascii() and any(map(text.__contains__, _IN_A_ROW_BEYOND))
-        whole = in_a_row or text[-1:] == " " or any(map(text.__contains__, _added(path)))  # white space in a row: left whole
-        cut.append(None if whole else text.split(" "))
-    heads = memory.heads.missing(parts[0] for parts in cut if parts)
-    memory.heads.known.update((x, _whole(path, x, kind)) for x in heads)
-    _learn_words(path, memory, memory.words.missing(chain.from_iterable(parts[1:] for parts in cut if parts)), kind)
-    of, head_of = memory.words.known.__getitem__, memory.heads.known
-    return [_whole(path, text, kind, special) + end if parts is None else head_of[parts[0]] + b"".join(map(of, parts[1:])) + end for text, parts in zip(texts, cut)]
-
-
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, special: bool = False) -> DataFrame:
+    added = tuple(x.encode() for x in _added(path))
+    for data, offsets in runs(text):
+        yield gather(data, offsets, _cuts(data, offsets, added), lambda units: cache.encode(units, lambda new: _learn(path, new, kind, special)), end, kind)
+
+
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, special: bool = True) -> DataFrame:
     """doc_id and ids (packed integers) of each row; null texts are empty."""
     kind = _kind(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.dtype(kind).itemsize
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encode_texts(texts, tokenizer_path, end_id, kind, special), pa.binary())], ["doc_id", "ids"])
+            done = 0
+            for ids, counts in encode_texts(b.column("text"), tokenizer_path, end_id, kind, special):
+                ends = np.cumsum(np.concatenate([[0], counts])) * width
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(counts)), packed.cast(pa.binary())], ["doc_id", "ids"])
+                done += len(counts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def _kind(tokenizer_path: str) -> type:
@@ -396,12 +422,12 @@ class TokenSource(DataSource):
         return TokenWriter(dict(self.options))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, special: bool = False) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, special: bool = True) -> None:
     """Encode ``docs`` (doc_id, text) and write the ids to the folder ``path`` in ascending doc_id order, null first.
 
     Two passes: ids are written aside once, counted over all documents for the codes, then sorted by range and coded.
-    Rows of one doc_id keep no order among themselves but that of their ids. With ``special`` the strings of special
-    tokens in a text become those tokens' ids, which is the library's default; else they are ordinary text.
+    Rows of one doc_id keep no order among themselves but that of their ids. The strings of special tokens
+    in a text become those tokens' ids, as the library has it; without ``special`` they are ordinary text.
     """
     spark = docs.sparkSession
     spark.dataSource.register(TokenSource)
@@ -427,5 +453,5 @@ def token_digest(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     them by default. An empty table gives an empty result. Only the two columns named are read.
     """
     path = new_path(docs.sparkSession, "token-ids")
-    write_token_files(docs, path, tokenizer_path, end_id, special=True)
+    write_token_files(docs, path, tokenizer_path, end_id)
     return read_token_files(docs.sparkSession, path, ids="crc32").select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -2,8 +2,10 @@
 
 import random
 import zlib
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from slotframe.llm import sentence_pieces, token_file
@@ -33,9 +35,8 @@ def test_pieces_against_the_library():
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = [t or "" for _, t in rows()]
-    kind = sentence_pieces.load(PIECES).kind
     for batch in (texts, texts[::-1], texts[:3]):  # the second time from the words kept
-        got = [np.frombuffer(x, kind).tolist() for x in sentence_pieces.encode_texts(batch, PIECES)]
+        got = [x.tolist() for ids, counts in sentence_pieces.encode_texts(pa.array(batch), PIECES) for x in np.split(ids, np.cumsum(counts)[:-1])]
         assert got == sp.encode(batch)
     for ids in sp.encode(texts):
         assert sentence_pieces.decode_ids(ids, PIECES) == sp.decode(ids)
@@ -58,12 +59,17 @@ def test_pieces_in_columns(spark):
     assert sentence_pieces.round_trip(docs(spark, []), PIECES).collect() == []
 
 
-def whole_ids(text):
+def whole_ids(text, special=True):
+    return tokenizer(special).encode(text or "", add_special_tokens=False).ids + [2]
+
+
+@cache
+def tokenizer(special):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BYTES)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [2]
+    t.encode_special_tokens = not special
+    return t
 
 
 def test_token_files(spark, tmp_path):
@@ -144,10 +150,47 @@ def test_bits(n):
 def test_words_are_kept_in_two_generations():
     from slotframe.llm.word_cache import WordCache
 
-    c = WordCache(generation=3)
-    for batch in (["a", "b"], ["c", "d"], ["a", "e"], ["a", "f"], ["g", "h", "i"], ["a"]):
-        c.turn()
-        c.known.update((w, w.encode()) for w in c.missing(batch + batch))
-        assert all(c.known[w] == w.encode() for w in batch)
+    c, asked = WordCache(generation=3), []
+
+    def learn(new):
+        asked.extend(new)
+        return [w.upper() for w in new]
+
+    for batch in ([b"a", b"b"], [b"c", b"d"], [b"a", b"e"], [b"a", b"f"], [b"g", b"h", b"i"], [b"a"]):
+        assert c.encode(batch, learn) == [w.upper() for w in batch]
         assert len(c.known) <= 3 + len(batch)
-    assert c.missing(["b"]) == ["b"] and c.missing(["a"]) == []
+    assert asked.count(b"a") == 1
+    c.encode([b"b", b"x" * 300, b"x" * 300], learn)
+    assert asked.count(b"b") == 2 and b"x" * 300 not in c.known
+
+
+PARTS = ["ab", "Ünd", "é", "×", "1", "12a", ",", "'s", "'", "...", "&&&", "\n", "\r\n", "\t", " ", "  ", "\u00a0", "\u2009", "\u3000", "…", "“x”", "日本", "🙂", "a\nb", ".\nAb", "\x1c", "\x00", "<|endoftext|>", "à", "ß,"]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_texts_are_cut_where_the_tokenizer_cuts(seed):
+    r = random.Random(seed)
+    texts = ["".join(r.choice(PARTS) + r.choice(["", "", " ", "\n"]) for _ in range(r.randrange(30))) for _ in range(50)]
+    for special in (True, False):
+        for _ in range(2):  # the second time from the words kept
+            got = [x.tolist() for ids, counts in token_file.encode_texts(pa.array(texts), BYTES, 2, np.uint16, special) for x in np.split(ids, np.cumsum(counts)[:-1])]
+            assert got == [whole_ids(t, special) for t in texts]
+    want = [x.tolist() for ids, counts in sentence_pieces.encode_texts(pa.array(texts), PIECES) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert want == processor().encode(texts)
+
+
+def processor():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+def test_other_models_are_refused(monkeypatch):
+    from dataclasses import replace
+
+    real = sentence_pieces.load(PIECES)
+    swapped = replace(real, rank=real.rank[::-1].copy())
+    monkeypatch.setattr(sentence_pieces, "load", lambda path: swapped)
+    monkeypatch.setattr(sentence_pieces, "_caches", {})
+    with pytest.raises(ValueError, match="pair-merge"):
+        sentence_pieces.check.__wrapped__(PIECES)
