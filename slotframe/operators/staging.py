@@ -12,8 +12,11 @@ LOCAL_SHARED_DIR = "/tmp/checkpoints/slotframe"
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_SHARED_DIR).rstrip('/')}/slotframe-{what}-{uuid.uuid4().hex}"
+    """A new path in the folder of spark.checkpoint.dir, which only a session on one machine may leave unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(folder or LOCAL_SHARED_DIR).rstrip('/')}/slotframe-{what}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, what: str = "table") -> DataFrame:
