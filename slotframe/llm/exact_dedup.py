@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotframe.llm.common import WHITE, stage
+from slotframe.llm.common import WHITE, keep_rows, keyed_rows, stage, text_key
 
 
 def normalised(text: Column) -> Column:
@@ -13,39 +13,55 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WHITE}]+", " ")
 
 
+def _repeats(rows: DataFrame, *keys: str) -> DataFrame:
+    """The groups of more than one row: their number of rows n, and first, the one that stays."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), least.alias("first")).filter("n > 1")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, key (of the text as it is), rid, h, text_sha256, n, first.
+
+    ``n`` and ``first`` (least doc_id, null last, then rid) are of the rows with an equal text.
+    """
+    t = normalised(F.col("text"))
+    rows = stage(keyed_rows(docs, F.unhex(F.md5(t)).alias("h"), F.sha2(t, 256).alias("text_sha256")), "dedup-hashes")
+    repeats = stage(_repeats(rows, "h"), "dedup-groups")
+    wanted = rows.join(repeats.select("h"), "h", "left_semi").select("key").distinct()
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(wanted, "key", "left_semi").select(normalised(F.col("text")).alias("t"))
+    alike = texts.groupBy(F.unhex(F.md5("t")).alias("h"), "t").agg(F.sha2(F.first("t"), 256).alias("text_sha256"))  # equal bytes are one row
+    apart = alike.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.countDistinct("text_sha256").alias("digests")).filter("texts > 1")
+    collisions, unlike = apart.agg(F.count(F.lit(1)), F.count_if(F.col("texts") > F.col("digests"))).first()
+    if not collisions:
+        joined = rows.join(repeats, "h", "left")
+    elif not unlike:  # different texts share the hash: the other digest tells them apart
+        joined = rows.join(_repeats(rows, "h", "text_sha256"), ["h", "text_sha256"], "left")
+    else:  # different texts share both digests: the texts themselves are the groups' keys
+        rows = stage(keyed_rows(docs, t.cast("binary").alias("h"), F.sha2(t, 256).alias("text_sha256")), "dedup-texts")
+        joined = rows.join(_repeats(rows, "h"), "h", "left")
+    return joined.select("doc_id", "key", "rid", "text_sha256", F.coalesce("n", F.lit(1)).cast("long").alias("n"), "first")
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
-    Rows are grouped by MD5 of the normalised text together with the text itself, so that two texts of one hash
-    never meet in a group. Map-side combining leaves one row of a text for each map task, however many copies it has.
-    The second pass moves hashes only, not texts.
+    Rows are grouped by the MD5 of the normalised text; hashes move, not texts. Only texts of hashes that occur more
+    than once are then brought together, each once for a map task however many copies it has, and compared as bytes:
+    where a hash has more than one text, groups are formed again by both digests, or by the texts if those agree too.
 
     Nulls and ties: a null text counts as empty. A null doc_id loses to any other; a group of null ids only has
     keep_id null. Of repeated rows (same doc_id, equal text) exactly one is kept. An empty table gives an empty
     result; other columns of ``docs`` are not looked at, so their names can't clash.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("t"))
-    texts = base.groupBy(F.md5("t").alias("h"), "t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    texts = stage(texts.select("h", F.sha2("t", 256).alias("text_sha256"), "keep_id", "group_size"), "dedup-texts")
-    both = texts.groupBy("h", "text_sha256").count().filter("count > 1")
-    if both.isEmpty():
-        rows = base.select("doc_id", F.md5("t").alias("h"), F.sha2("t", 256).alias("text_sha256")).join(texts, ["h", "text_sha256"])
-    else:  # two texts share both digests: tell them apart by the text
-        whole = base.groupBy("t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        rows = base.join(whole, "t").withColumns({"h": F.md5("t"), "text_sha256": F.sha2("t", 256)})
-    first = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("text_sha256")) == 1
-    return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256")
+    kept = F.col("first").isNull() | (F.col("rid") == F.col("first.rid"))
+    keep_id = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return _judged(docs).select("doc_id", keep_id.alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; one row stays of a repeated doc_id with one text."""
-    def keys(doc_id: Column, sha: Column) -> list[Column]:
-        return [F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("_k"), doc_id.isNull().alias("_null"), sha.alias("_sha")]
-
-    keep = exact_dedup(docs).filter("kept").select(*keys(F.col("doc_id"), F.col("text_sha256")))
-    rows = docs.select(F.struct("*").alias("row"), *keys(docs["doc_id"], F.sha2(normalised(docs["text"]), 256)))
-    first = F.row_number().over(Window.partitionBy("_k", "_null", "_sha").orderBy("_k"))
-    return rows.join(keep.distinct(), ["_k", "_null", "_sha"]).withColumn("_n", first).filter("_n = 1").select("row.*")
+    kept = F.col("first").isNull() | (F.col("rid") == F.col("first.rid"))
+    return keep_rows(docs, _judged(docs).select("doc_id", "key", kept.alias("kept")))
 
 
 ORACLE = """
