@@ -1,31 +1,36 @@
 """SimHash near-dedup with a hierarchical index over fingerprints in Gray order.
 
-Fingerprints within 3 bits of each other agree on one of four 16-bit bands, and then on one of four 12-bit bands of
-the other 48 bits. So they meet in one of 16 tables under a key of 28 equal bits, whatever the size of the corpus.
-Each task sorts its fingerprints by key and Gray rank and builds an index of groups: an upper node holds the bits
-that all fingerprints below it share, a lower node only those it shares beyond. A search adds up differences on the
-way down and leaves a whole group as soon as they are too many.
+All distinct fingerprints are sorted by Gray rank and cut into blocks, so that neighbours in the order share many bits.
+Over each block stands a tree of groups: a node holds the bits that all fingerprints below it share, and a node further
+down only adds to them. Two trees are searched for near pairs together, from the top: the differences in the bits that
+two nodes share are added up on the way down, and both groups are left as soon as they are too many. The top nodes of
+all blocks tell each task which other blocks it need read at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotframe.llm.common import stage, text_batches
+from slotframe.llm import files
+from slotframe.llm.common import keep_rows, keyed_rows, new_path, stage, text_batches
 from slotframe.llm.components import connected_components
 
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 3
 FANOUT = 8
-#: Nodes that a search has before it at once, and pairs held before they are reduced to a forest.
-FRONTIER, PAIRS = 1 << 21, 1 << 20
+#: Fingerprints of a block, and the number of blocks from which on blocks grow instead; a block's name and top node go to the driver.
+BLOCK, MOST_BLOCKS = 1 << 14, 1 << 16
+#: Pairs of nodes that a search has before it at once, and links held before they are reduced to a forest.
+FRONTIER, PAIRS = 1 << 19, 1 << 20
 
 
 def fingerprint(text: bytes) -> int:
@@ -60,17 +65,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _hashed_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, sha (of the text, as ``_sha`` gives it) and fp of each row."""
-    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _sha(F.col("text")).alias("sha"), "text")
-    return rows.mapInArrow(_fingerprints, "doc_id long, sha string, fp long")
-
-
-def _sha(text: Column) -> Column:
-    """Null counts as empty, as it does in fingerprints."""
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
-
-
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of a bit pattern in the Gray code's order."""
     x = x.copy()
@@ -79,60 +73,80 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class GrayIndex:
-    """The groups of all keys of a task, level by level; level 0 is the fingerprints themselves."""
-
-    def __init__(self, key: np.ndarray, fp: np.ndarray) -> None:
-        order = np.lexsort((gray_rank(fp), key))
-        self.fp, key = fp[order], key[order]
-        low = high = self.fp
-        begin = np.arange(len(fp))
-        lows, highs, begins = [low], [high], [begin]
-        while len(key) and (key[1:] == key[:-1]).any():
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            first = np.flatnonzero(new)
-            place = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
-            child = np.flatnonzero(place % FANOUT == 0)
-            low, high, key = np.bitwise_and.reduceat(low, child), np.bitwise_or.reduceat(high, child), key[child]
-            lows.append(low)
-            highs.append(high)
-            begins.append(np.append(child, len(place)))
-        self.shared = [~(a ^ b) for a, b in zip(lows, highs)]
-        self.values, self.children, self.top_key = lows, begins, key
-
-    def top(self) -> np.ndarray:
-        """The top node above each fingerprint."""
-        span = np.arange(len(self.top_key) + 1)
-        for kids in reversed(self.children[1:]):
-            span = kids[span]
-        return np.repeat(np.arange(len(self.top_key)), np.diff(span)) if len(self.children) > 1 else np.arange(len(self.fp))
-
-    def search(self, queries: np.ndarray, nodes: np.ndarray, level: int, far: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, later fingerprint) within max_bits below the nodes, which are at ``level``."""
-        if len(queries) > FRONTIER and level > 0 or len(queries) > 4 * FRONTIER:
-            half = len(queries) // 2
-            yield from self.search(queries[:half], nodes[:half], level, far[:half], max_bits)
-            yield from self.search(queries[half:], nodes[half:], level, far[half:], max_bits)
+def gray_order(fp: Column) -> Column:
+    """A long that sorts as the Gray rank of the 64 bits."""
+    x = fp
+    for shift in (1, 2, 4, 8, 16, 32):
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, shift))
+    return x.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+class GrayTree:
+    """Fingerprints in Gray order, level 0, under groups of FANOUT, groups of groups, and so on to one top node."""
+
+    def __init__(self, fp: np.ndarray) -> None:
+        low = high = fp
+        self.values, self.shared = [low], [np.full(len(fp), np.uint64((1 << 64) - 1))]
+        while len(low) > 1:
+            at = np.arange(0, len(low), FANOUT)
+            low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
+            self.values.append(low)
+            self.shared.append(~(low ^ high))
+
+    @property
+    def top(self) -> int:
+        return len(self.values) - 1
+
+
+@dataclass
+class Search:
+    """Pairs of nodes that a search has compared, and pairs of groups (not of single fingerprints) that it has left."""
+
+    max_bits: int = MAX_BITS
+    compared: int = 0
+    left: int = 0
+
+    def near(self, a: GrayTree, b: GrayTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (in a, in b) of all fingerprints within max_bits of each other; within one tree, each pair once."""
+        if not len(a.values[0]) or not len(b.values[0]):
+            return
+        zero = np.zeros(1, np.int64)
+        far = np.bitwise_count((a.values[-1] ^ b.values[-1]) & a.shared[-1] & b.shared[-1]).astype(np.int64)
+        if far[0] <= self.max_bits:
+            yield from self._down(a, b, a.top, b.top, zero, zero, far)
+
+    def _down(self, a: GrayTree, b: GrayTree, i: int, j: int, x: np.ndarray, y: np.ndarray, far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Below the pairs of nodes x of a's level i and y of b's level j, which differ in ``far`` of their shared bits."""
+        if a is b and i == j:
+            once = x <= y if i else x < y
+            x, y, far = x[once], y[once], far[once]
+        if not len(x):
             return
-        if level == 0:
-            later = nodes > queries
-            yield queries[later], nodes[later]
+        if i == j == 0:
+            yield x, y
             return
-        kids, below = self.children[level], level - 1
-        begin, n = kids[nodes], kids[nodes + 1] - kids[nodes]
-        child = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        q, far, up = np.repeat(queries, n), np.repeat(far, n), np.repeat(nodes, n)
-        fresh = self.shared[below][child] & ~self.shared[level][up]
-        far = far + np.bitwise_count((self.fp[q] ^ self.values[below][child]) & fresh)
-        near = far <= max_bits
-        yield from self.search(q[near], child[near], below, far[near], max_bits)
-
-    def pairs(self, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        level, top = len(self.children) - 1, self.top()
-        for i in range(0, len(self.fp), 1 << 15):
-            q = np.arange(i, min(len(self.fp), i + (1 << 15)))
-            far = np.bitwise_count((self.fp[q] ^ self.values[level][top[q]]) & self.shared[level][top[q]]).astype(np.int64)
-            yield from self.search(q, top[q], level, far, max_bits)
+        if len(x) > FRONTIER:
+            half = len(x) // 2
+            yield from self._down(a, b, i, j, x[:half], y[:half], far[:half])
+            yield from self._down(a, b, i, j, x[half:], y[half:], far[half:])
+            return
+        shared = a.shared[i][x] & b.shared[j][y]
+        first = i >= j
+        tree, level, nodes = (a, i, x) if first else (b, j, y)
+        child = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+        there = child < len(tree.values[level - 1])
+        up = np.repeat(np.arange(len(nodes)), FANOUT)[there]
+        child = child[there]
+        if first:
+            i, x, y = i - 1, child, y[up]
+        else:
+            j, x, y = j - 1, x[up], child
+        fresh = a.shared[i][x] & b.shared[j][y] & ~shared[up]
+        far = far[up] + np.bitwise_count((a.values[i][x] ^ b.values[j][y]) & fresh)
+        keep = far <= self.max_bits
+        self.compared += len(keep)
+        self.left += 0 if i == j == 0 else int(len(keep) - keep.sum())
+        yield from self._down(a, b, i, j, x[keep], y[keep], far[keep])
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,44 +167,84 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[root[moved]]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, fps = [], []
-    for b in batches:
-        keys.append(b.column("key").to_numpy().view(np.uint64))
-        fps.append(b.column("fp").to_numpy().view(np.uint64))
-    if not keys:
-        return
-    key, fp = np.concatenate(keys), np.concatenate(fps)
-    _, which, count = np.unique(key, return_inverse=True, return_counts=True)
-    met = count[which] > 1
-    index = GrayIndex(key[met], fp[met])
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for q, c in index.pairs(MAX_BITS):
-        held.append((index.fp[q].view(np.int64), index.fp[c].view(np.int64)))
-        size += len(q)
-        if size >= PAIRS:
-            held = [forest(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))]
-            size = len(held[0][0])
-    if held and size:
-        u, v = forest(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-        for i in range(0, len(u), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 16)]), pa.array(v[i : i + (1 << 16)])], ["u", "v"])
-
-
-def linked_fingerprints(distinct: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints (fp, each once) within MAX_BITS of each other; no more than a forest a task."""
-    keys = []
-    for band in range(4):
-        low = 16 * band
-        head = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(0xFFFF))
-        above = F.shiftleft(F.shiftrightunsigned("fp", low + 16), low) if low + 16 < 64 else F.lit(0).cast("long")
-        rest = above.bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << low) - 1)))
-        for sub in range(4):
-            tail = F.shiftrightunsigned(rest, 12 * sub).bitwiseAND(F.lit(0xFFF))
-            keys.append(F.lit((4 * band + sub) << 28).bitwiseOR(F.shiftleft(head, 12)).bitwiseOR(tail))
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key")
-    return rows.mapInArrow(_links, "u long, v long").distinct()
+@dataclass(frozen=True)
+class Blocks:
+    """The blocks of all fingerprints in Gray order: their files in ``path``, and the top node of each."""
+
+    path: str
+    names: list[str]
+    value: np.ndarray
+    shared: np.ndarray
+
+    def read(self, i: int) -> np.ndarray:
+        return np.frombuffer(files.read_bytes(f"{self.path}/{self.names[i]}"), "<u8")
+
+    def near(self, i: int, max_bits: int) -> np.ndarray:
+        """The blocks that may hold fingerprints near those of block i; of two such blocks one finds the other."""
+        n = len(self.names)
+        ahead = (np.arange(n) - i) % n
+        mine = (2 * ahead < n) | (2 * ahead == n) & (i < np.arange(n))
+        return np.flatnonzero(mine & (np.bitwise_count((self.value ^ self.value[i]) & self.shared & self.shared[i]) <= max_bits))
+
+
+def write_blocks(distinct: DataFrame) -> Blocks:
+    """Sort the fingerprints (fp, each once) of the whole table by Gray rank and write them as blocks to the shared folder."""
+    path, n = new_path(distinct.sparkSession, "gray-blocks"), distinct.count()
+    size = max(BLOCK, -(-n // MOST_BLOCKS))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        done = 0
+
+        def block(fp: np.ndarray) -> pa.RecordBatch:
+            nonlocal done
+            name = files.part_name(TaskContext.get().partitionId(), done, ".fp")
+            files.write_bytes(f"{path}/{name}", fp.astype("<u8").tobytes())
+            done += 1
+            low, high = np.bitwise_and.reduce(fp), np.bitwise_or.reduce(fp)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array(np.array([low, ~(low ^ high)]).view(np.int64)[:1]), pa.array(np.array([low, ~(low ^ high)]).view(np.int64)[1:])], ["name", "value", "shared"])
+
+        for b in batches:
+            held.append(b.column("fp").to_numpy().view(np.uint64))
+            while sum(map(len, held)) >= size:
+                every = np.concatenate(held)
+                yield block(every[:size])
+                held = [every[size:]]
+        if sum(map(len, held)):
+            yield block(np.concatenate(held))
+
+    ordered = distinct.select("fp", gray_order(F.col("fp")).alias("g")).repartitionByRange(max(1, -(-n // size)), "g").sortWithinPartitions("g")
+    found = ordered.select("fp").mapInArrow(write, "name string, value long, shared long").collect()  # a row for each block
+    as_bits = lambda c: np.array([r[c] for r in found], np.int64).view(np.uint64)
+    return Blocks(path, [r["name"] for r in found], as_bits("value"), as_bits("shared"))
+
+
+def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Edges (u, v) that connect all fingerprints (fp, each once) within max_bits of each other; no more than a forest a task."""
+    spark = distinct.sparkSession
+    blocks = spark.sparkContext.broadcast(write_blocks(distinct))  # at most some 2 * MOST_BLOCKS names and top nodes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, search = blocks.value, Search(max_bits)
+        for i in (i for b in batches for i in b.column("id").to_pylist()):
+            own = GrayTree(known.read(i))
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for j in known.near(i, max_bits):
+                other = own if i == j else GrayTree(known.read(j))
+                for x, y in search.near(own, other):
+                    held.append((own.values[0][x].view(np.int64), other.values[0][y].view(np.int64)))
+                    size += len(x)
+                    if size >= PAIRS:
+                        held = [forest(np.concatenate([p for p, _ in held]), np.concatenate([q for _, q in held]))]
+                        size = len(held[0][0])
+            if size:
+                u, v = forest(np.concatenate([p for p, _ in held]), np.concatenate([q for _, q in held]))
+                for k in range(0, len(u), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(u[k : k + (1 << 16)]), pa.array(v[k : k + (1 << 16)])], ["u", "v"])
+
+    n = len(blocks.value.names)
+    return spark.range(0, n, 1, max(1, n)).mapInArrow(run, "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -218,16 +272,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id and text, so null and repeated ids with different texts each count for the component
     that their own text is in. Of rows that are equal in both, that with the smallest digest of all columns stays.
     """
-    rows = stage(_hashed_fingerprints(docs), "fingerprints")
-    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "sha")
+    rows = stage(text_batches(keyed_rows(docs, F.col("text"))).mapInArrow(_fingerprints, "doc_id long, key binary, rid long, fp long"), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key", "rid")
     names = stage(rows.groupBy("fp").agg(F.min(first).alias("least")), "distinct-fingerprints")
     linked = stage(connected_components(linked_fingerprints(names.select("fp"))), "components")
     named = names.join(linked, names["fp"] == linked["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-
-    def keys(doc_id: Column, sha: Column) -> list[Column]:
-        return [F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("_k"), doc_id.isNull().alias("_null"), sha.alias("_sha")]
-
-    keep = named.groupBy("root").agg(F.min("least").alias("x")).select(*keys(F.col("x.doc_id"), F.col("x.sha")))
-    kept = docs.select(F.struct("*").alias("row"), *keys(docs["doc_id"], _sha(docs["text"]))).join(keep, ["_k", "_null", "_sha"])
-    one = F.row_number().over(Window.partitionBy("_k", "_null", "_sha").orderBy(F.md5(F.col("row").cast("string"))))
-    return kept.withColumn("_n", one).filter("_n = 1").select("row.*")
+    keep = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("rid"), F.lit(True).alias("kept"))
+    return keep_rows(docs, rows.join(keep, "rid", "left").select("doc_id", "key", F.coalesce("kept", F.lit(False)).alias("kept")))

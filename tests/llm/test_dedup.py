@@ -50,12 +50,19 @@ def test_exact_dedup_of_nothing_and_dropping(spark):
 
 def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
     """With digests that always collide, the bytes decide."""
-    monkeypatch.setattr(exact_dedup.F, "md5", lambda c: F.lit("h"))
-    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("s"))
+    monkeypatch.setattr(exact_dedup.F, "md5", lambda c: F.lit("00"))
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("11"))
     got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_dedup(docs(spark, [(1, "a"), (2, "b"), (3, "a")])).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
 
 
+def test_texts_of_one_md5_stay_apart(spark, monkeypatch):
+    """With a 128-bit hash that always collides, the comparison of bytes finds it out and the other digest decides."""
+    monkeypatch.setattr(exact_dedup.F, "md5", lambda c: F.lit("00"))
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs(spark, [(1, "a"), (2, "b"), (3, "a"), (4, "c")])).collect())
+    assert got == [(1, 1, 2, True), (2, 2, 1, True), (3, 1, 2, False), (4, 4, 1, True)]
+
+
 def slow_fingerprint(text):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -132,17 +139,51 @@ def test_index_finds_all_pairs(seed):
             flips ^= np.uint64(1) << g.integers(0, 64, 40).astype(np.uint64)
         fps.append(base ^ flips)
     fp = np.unique(np.concatenate(fps))
-    key = g.integers(0, 3, len(fp)).astype(np.uint64)
-    index = simhash.GrayIndex(key, fp)
-    got = set()
-    for q, c in index.pairs(3):
-        got |= {frozenset((int(index.fp[a]), int(index.fp[b]))) for a, b in zip(q, c)}
-    want = {frozenset((int(fp[i]), int(fp[j]))) for i in range(len(fp)) for j in range(i) if key[i] == key[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= 3}
+    fp = fp[np.argsort(simhash.gray_rank(fp))]
+    cuts = sorted(g.integers(0, len(fp), 2))
+    trees = [simhash.GrayTree(x) for x in np.split(fp, cuts)]
+    search, got = simhash.Search(3), set()
+    for i, a in enumerate(trees):
+        for b in trees[i:]:
+            for x, y in search.near(a, b):
+                pairs = [frozenset((int(a.values[0][p]), int(b.values[0][q]))) for p, q in zip(x, y)]
+                assert len(set(pairs)) == len(pairs) and not got & set(pairs)
+                got |= set(pairs)
+    want = {frozenset((int(fp[i]), int(fp[j]))) for i in range(len(fp)) for j in range(i) if (int(fp[i]) ^ int(fp[j])).bit_count() <= 3}
     assert got == want
 
 
-def test_all_links_survive_the_tables(spark):
+def test_index_leaves_whole_groups():
+    """Of all pairs of random fingerprints only a small part is ever compared, as groups are left on the way."""
+    g = np.random.default_rng(1)
+    fp = np.unique(g.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + g.integers(0, 2, 20_000, dtype=np.uint64))
+    fp = fp[np.argsort(simhash.gray_rank(fp))]
+    search = simhash.Search(3)
+    assert sum(len(x) for x, _ in search.near(simhash.GrayTree(fp), simhash.GrayTree(fp[:1]))) == 1
+    search = simhash.Search(3)
+    tree = simhash.GrayTree(fp)
+    assert not [x for x, _ in search.near(tree, tree)]
+    pairs = len(fp) * (len(fp) - 1) // 2
+    print(f"{search.left} pairs of groups left, {search.compared} compared, {pairs} pairs in all")
+    assert search.left > 100_000 and search.compared < pairs / 4
+
+
+def test_blocks_are_in_gray_order(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    g = np.random.default_rng(2)
+    fp = g.integers(-(1 << 63), (1 << 63) - 1, 1000)
+    blocks = simhash.write_blocks(spark.createDataFrame([(int(x),) for x in fp], "fp long"))
+    read = [blocks.read(i) for i in range(len(blocks.names))]
+    assert len(read) >= 10 and max(map(len, read)) <= 100
+    every = np.concatenate(read)
+    assert (every == np.array(sorted(fp.view(np.uint64).tolist(), key=lambda x: int(simhash.gray_rank(np.array([x], np.uint64))[0])), np.uint64)).all()
+    near = {(i, int(j)) for i in range(len(read)) for j in blocks.near(i, 64)}
+    assert {frozenset(p) for p in near} == {frozenset((i, j)) for i in range(len(read)) for j in range(i + 1)} and len(near) == len(read) * (len(read) + 1) // 2
+
+
+def test_all_links_survive_the_blocks(spark, monkeypatch):
     """Pairs at every distance up to 3 meet, wherever the bits differ."""
+    monkeypatch.setattr(simhash, "BLOCK", 64)
     r = random.Random(8)
     fps = {r.getrandbits(64) for _ in range(100)}
     for f in list(fps):
