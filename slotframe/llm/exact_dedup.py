@@ -27,7 +27,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     t = normalised(F.col("text"))
     rows = stage(keyed_rows(docs, F.unhex(F.md5(t)).alias("h"), F.sha2(t, 256).alias("text_sha256")), "dedup-hashes")
     repeats = stage(_repeats(rows, "h"), "dedup-groups")
-    wanted = rows.join(repeats.select("h"), "h", "left_semi").select("key").distinct()
+    wanted = stage(rows.join(repeats.select("h"), "h", "left_semi").select("key").distinct(), "dedup-wanted")  # texts move only where it is large
     texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(wanted, "key", "left_semi").select(normalised(F.col("text")).alias("t"))
     alike = texts.groupBy(F.unhex(F.md5("t")).alias("h"), "t").agg(F.sha2(F.first("t"), 256).alias("text_sha256"))  # equal bytes are one row
     apart = alike.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.countDistinct("text_sha256").alias("digests")).filter("texts > 1")

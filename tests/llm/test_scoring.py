@@ -13,36 +13,72 @@ from slotframe.llm import exact_dedup, mixing, quality, sentence_pieces, simhash
 
 
 def brute(rows, k=10):
-    usable = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            w = [math.floor(float(np.float32(x)) * 1024) for x in v]
-            usable[i] = min(usable.get(i, w), w)
+    """Straight from the contract: every row is a candidate of every query but itself."""
+    usable = [(i, [math.floor(float(np.float32(x)) * 1024) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    held = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
     out = []
-    for q, a in usable.items():
-        if q % 100 == 0:
-            held = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
-            scored = sorted((-held(sum(x * y for x, y in zip(a, b))), i) for i, b in usable.items() if i != q and len(a) == len(b))
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
-    return sorted(out)
+    for n, (q, a) in enumerate(usable):
+        if q is not None and q % 100 == 0:
+            scored = [(-held(sum(x * y for x, y in zip(a, b))), i is None, i or 0) for m, (i, b) in enumerate(usable) if m != n and len(a) == len(b)]
+            out += [(q, rank + 1, None if null else i, -s) for rank, (s, null, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=str)
 
 
-def test_top_k(spark, monkeypatch):
+def top(df):
+    return sorted(map(tuple, top_k.exact_top_k(df).collect()), key=str)
+
+
+@pytest.mark.parametrize("first", [5, 40, 8192])
+def test_top_k(spark, monkeypatch, first):
     monkeypatch.setattr(top_k, "CANDIDATE_GROUP", 60)
     monkeypatch.setattr(top_k, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(top_k, "FIRST_GROUP", first)
     r = random.Random(2)
     rows = [(i * 10, [r.gauss(0, 0.2) for _ in range(8)]) for i in range(200)]
     rows += [(i * 10 + 1, list(rows[i % 7][1])) for i in range(40)]  # ties
     rows += [(3, None), (4, [1.0, None] + [0.0] * 6), (5, [float("nan")] * 8), (7, [float("inf")] + [0.0] * 7), (None, [0.1] * 8), (0, list(rows[0][1])), (9, [1.0, 2.0]), (5000, [3.0, 4.0]), (6000, [])]
+    rows += [(33, [r.gauss(0, 0.5) for _ in range(8)]) for _ in range(30)] + [(None, [0.3] * 8)] * 12  # repeated and null ids
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, row string")
-    assert sorted(map(tuple, top_k.exact_top_k(df).collect())) == brute(rows)
+    assert top(df) == brute(rows)
     assert top_k.exact_top_k(df.limit(0)).collect() == []
 
 
+def test_every_row_of_a_repeated_id_is_a_candidate(spark):
+    rows = [(0, [1.0, 0.0]), (5, [0.9, 0.0]), (5, [0.5, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in top_k.exact_top_k(df).orderBy("rank").collect()] == [(0, 1, None, 1048576), (0, 2, 5, 1024 * 921), (0, 3, 5, 524288)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bounds_hold_and_leave_candidates_unscored(seed):
+    """Also where all vectors lie in few dimensions, repeat, or are far apart in size."""
+    g = np.random.default_rng(seed)
+    x = np.floor(1024 * g.normal(size=(3000, 32)) * (10.0 ** g.integers(-3, 4, (3000, 1)) if seed % 2 else 1))
+    if seed > 3:
+        x[:, 5:] = 0
+    p = top_k.Pivots.choose(x[:1000], 24)
+    near = np.abs(p.distances(x[:200])[:, None, :] - p.distances(x)[None, :, :]).max(axis=2)
+    squares = (x * x).sum(axis=1)
+    alone = (squares[:200, None] + squares[None, :] - near * near) / 2
+    bounds = top_k.upper_bounds(p.place(x[:200]), p.place(x))
+    assert (bounds >= x[:200] @ x.T).all()
+    size = np.sqrt(squares[:200, None] * squares[None, :])
+    assert (bounds <= alone + 1e-3 * size + 1e-5 * np.sqrt(squares.max()) * np.sqrt(squares[:200, None]) + 2).all()  # never looser than one pivot's
+    if seed == 0:
+        group = top_k.Group(np.arange(3000), np.arange(3000), np.ones(3000, bool), x, p.place(x))
+        for i in range(200):
+            ids, _, scores = group.best(i, x[i], bounds[i], None, 10)
+            s = x @ x[i]
+            s[i] = -np.inf
+            assert scores.tolist() == np.sort(s)[::-1][:10].tolist()
+        print(f"scored {group.scored / (200 * 3000):.3f} of all candidates")
+        assert group.scored < 200 * 3000 / 2
+
+
 def test_top_k_of_large_values(spark):
     rows = [(0, [1e6, 1e6]), (1, [3e7, -1.0]), (2, [1e15, 1e15]), (3, [-1e15, -1e15]), (100, [1e15, 5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert sorted(map(tuple, top_k.exact_top_k(df).collect())) == brute(rows)
+    assert top(df) == brute(rows)
 
 
 def test_tokens_and_shapes():
