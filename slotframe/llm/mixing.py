@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotframe.llm.common import prefix_sums, stage, words
+from slotframe.llm.common import WHITE, prefix_sums, stage, text_key, words
 
 #: Parts into which the slots are cut to find a drawn slot's source by an equi-join.
 LOOKUP_PARTS = 4096
@@ -103,49 +103,83 @@ def mix_slots(plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return slots.select("shard", "rank", "slot", permuted(F.col("i"), F.col("n_blocks"), F.col("key"), mix.rounds).alias("block_index"))
 
 
-def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken.
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), *more)
 
-    ``taken`` counts the words of the document in the blocks that the mix takes, repeats counted; it is at most
-    ``cap`` times the size. Each source's sum is within a few blocks of its target.
 
-    Nulls and ties: a null text has no words; null is a source of its own, after all others; documents without words
-    are never taken. Documents of a source lie in the order of a hash of their ids, then by id and size, so repeated
-    ids and rows each take part. An empty table gives an empty result. Only the three columns named are read.
+def _parts(sized: DataFrame, plan: DataFrame, mix: Mix, *keys: str) -> DataFrame:
+    """The rows of ``sized`` cut at block ends: where each lies in its source (at), block_index, overlap.
+
+    ``keys`` order rows of one id and size. A row without words has one part without a block.
     """
-    sized = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")), "mix-sizes")
-    plan = stage(source_plan(sized, mix), "mix-plan")
     n_chunks = max(1, -(-sized.count() // CHUNK_DOCS))
     rows = sized.withColumnRenamed("source", "_source").join(plan, F.col("_source").eqNullSafe(F.col("source")))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(mix.seed), "doc_id", "size"), F.lit(n_chunks)))
-    inside = Window.partitionBy("rank", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    number = Window.partitionBy("rank", "chunk").orderBy("doc_id", "size")
+    number = Window.partitionBy("rank", "chunk").orderBy("doc_id", "size", *keys)
+    inside = number.rowsBetween(Window.unboundedPreceding, -1)
     starts = prefix_sums(rows.groupBy("rank", "chunk").agg(F.sum("size").alias("words")), ["rank"], "chunk", "words", "chunk_at").select("rank", "chunk", "chunk_at")
     rows = rows.withColumn("n", F.row_number().over(number)).withColumn("inner_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(starts, ["rank", "chunk"]).withColumn("at", F.col("chunk_at") + F.col("inner_at"))
-    last = F.expr("(at + size - 1) div block")
-    spans = F.when(F.col("size") > 0, F.sequence(F.expr("at div block"), last))
-    parts = rows.select("rank", "chunk", "n", "doc_id", "size", "source_size", "target", "at", "block", F.explode_outer(spans).alias("block_index"))
+    spans = F.when(F.col("size") > 0, F.sequence(F.expr("at div block"), F.expr("(at + size - 1) div block")))
+    parts = rows.drop("_source", "chunk_at", "inner_at", "n_slots", "n_blocks").withColumn("block_index", F.explode_outer(spans))
     begin = F.col("block_index") * F.col("block")
-    parts = parts.withColumn("overlap", F.least(F.col("at") + F.col("size"), begin + F.col("block")) - F.greatest(F.col("at"), begin))
+    return parts.withColumn("overlap", F.least(F.col("at") + F.col("size"), begin + F.col("block")) - F.greatest(F.col("at"), begin))
+
+
+def _taken(sized: DataFrame, mix: Mix, *keys: str) -> DataFrame:
+    """What the mix takes of each row of ``sized``."""
+    plan = stage(source_plan(sized, mix), "mix-plan")
     uses = mix_slots(plan, mix).groupBy("rank", "block_index").agg(F.count(F.lit(1)).alias("uses"))
-    met = parts.join(uses, ["rank", "block_index"], "left")
+    met = _parts(sized, plan, mix, *keys).join(uses, ["rank", "block_index"], "left")
     taken = F.coalesce(F.sum(F.col("overlap") * F.col("uses")), F.lit(0)).cast("long")
-    whole = met.groupBy("rank", "chunk", "n").agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), taken.alias("taken"))
-    return whole.select("doc_id", "size", "source_size", "target", "taken")
+    whole = met.groupBy("rank", "chunk", "n").agg(*(F.first(c).alias(c) for c in ("doc_id", *keys, "size", "source_size", "target")), taken.alias("taken"))
+    return whole.select("doc_id", *keys, "size", "source_size", "target", "taken")
+
+
+def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken.
+
+    ``taken`` counts the words of the document in the blocks that the mix takes, repeats counted; it is at most
+    ``cap`` times the size. Each source's sum is within a few blocks of its target.
+
+    Nulls and ties: a null text has no words; null is a source of its own, after all others; documents without words
+    are never taken. Documents of a source lie in the order of a hash of their ids, then by id and size, so repeated
+    ids and rows each take part. An empty table gives an empty result. Only the three columns named are read.
+    """
+    return _taken(stage(_sized(docs), "mix-sizes"), mix)
+
+
+def mixed_blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix itself, a row for each slot: shard, source, slot, block_index, n_words, text.
+
+    A block's text is its words in a row, with a space between; blocks are gathered by index, and the slots that take a
+    block each get it. Nulls and ties as in ``mix_sources``; rows of one id and size lie in the order of their texts'
+    digests. No words at all give no rows.
+    """
+    sized = stage(_sized(docs, text_key(F.col("text")).alias("key"), F.col("text")), "mix-texts")
+    plan = stage(source_plan(sized, mix), "mix-plan")
+    parts = _parts(sized, plan, mix, "key").filter("overlap > 0")
+    from_word = F.greatest(F.lit(0), F.col("block_index") * F.col("block") - F.col("at"))
+    piece = F.slice(F.regexp_extract_all("text", F.lit(f"([^{WHITE}]+)"), F.lit(1)), (from_word + 1).cast("int"), F.col("overlap").cast("int"))
+    pieces = parts.select("rank", "block_index", "source", F.struct("at", F.array_join(piece, " ").alias("piece")).alias("x"), "overlap")
+    blocks = pieces.groupBy("rank", "block_index").agg(F.first("source").alias("source"), F.sum("overlap").alias("n_words"), F.array_sort(F.collect_list("x")).alias("xs"))  # at most block words
+    text = F.array_join(F.transform("xs", lambda x: x["piece"]), " ")
+    met = mix_slots(plan, mix).join(blocks.select("rank", "block_index", "source", "n_words", text.alias("text")), ["rank", "block_index"])
+    return met.select("shard", "source", "slot", "block_index", "n_words", "text")
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as the mix takes its text, 0, 1 or 2 times.
 
-    A part of a text counts as a chance: the row comes once more if a hash of its id falls below that part. Rows
-    without words are left out, as the mix never takes them.
+    Rows are told apart by doc_id and text; rows that are equal in both share evenly what is taken of them. A part of a
+    text counts as a chance: the row comes once more if a hash falls below that part. Rows without words are left out,
+    as the mix never takes them.
     """
-    takes = mix_sources(docs, mix).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
-    takes = takes.groupBy("_id", F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
-    times = F.col("_taken") / F.col("_size")
-    chance = F.pmod(F.xxhash64(F.lit(mix.seed), F.lit("copy"), "_id"), F.lit(1 << 20)) / float(1 << 20)
-    takes = takes.withColumn("_times", (F.floor(times) + F.when(chance < times - F.floor(times), 1).otherwise(0)).cast("int")).filter("_times > 0")
-    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("_doc"), words(docs["text"]).alias("_words"))
-    met = rows.join(takes, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
+    takes = _taken(stage(_sized(docs, text_key(F.col("text")).alias("key")), "mix-sizes"), mix, "key").filter("size > 0")
+    times = takes.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("key").alias("_key")).agg((F.sum("taken") / F.sum("size")).alias("_times"))
+    doc_id = docs["doc_id"].cast("long")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(doc_id, F.lit(-1)).alias("_id"), doc_id.isNull().alias("_null"), text_key(docs["text"]).alias("_key"), F.monotonically_increasing_id().alias("_rid"))
+    chance = F.pmod(F.xxhash64(F.lit(mix.seed), F.lit("copy"), "_id", "_key", "_rid"), F.lit(1 << 20)) / float(1 << 20)
+    n = (F.floor("_times") + F.when(chance < F.col("_times") - F.floor("_times"), 1).otherwise(0)).cast("int")
+    met = rows.join(times.filter("_times > 0"), ["_id", "_null", "_key"]).withColumn("_n", n).filter("_n > 0")
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")

@@ -104,3 +104,71 @@ def test_mixed_documents(spark):
         times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
     for i, (t, size) in taken.items():
         assert times.get(i, 0) in ((0,) if not t else (t // size, -(-t // size)))
+
+
+SMALL = Mix(block_words=40, shard_slots=16)
+
+
+def named_rows():
+    """Each word tells its row."""
+    out = [(i, [f"r{n}" for _ in range(size)], s) for n, (i, size, s) in enumerate((1000 * k + j, 5 + (j * 37) % 200, s) for k, s in enumerate(["a", "b", None]) for j in range(60 // (k + 1)))]
+    more = [(5, 30, "a"), (5, 30, "a"), (5, 31, "a"), (None, 12, "b"), (None, 12, "b"), (None, 0, "b"), (77, 0, None)]
+    out += [(i, [f"m{n}" for _ in range(size)], s) for n, (i, size, s) in enumerate(more)]
+    return [(i, "\t \n".join(w), s) for i, w, s in out]
+
+
+def test_taken_against_naive_blocks_and_slots(spark):
+    """Lay the words of each source end to end, cut them at every block, and count what the slots take."""
+    data = named_rows()
+    sized = docs(spark, data).select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    plan = mixing.source_plan(sized, SMALL)
+    slots = mixing.mix_slots(plan, SMALL).collect()
+    n_chunks = max(1, -(-len(data) // mixing.CHUNK_DOCS))
+    lines = sized.withColumn("chunk", F.pmod(F.xxhash64(F.lit(SMALL.seed), "doc_id", "size"), F.lit(n_chunks))).collect()
+    want = []
+    for p in plan.collect():
+        own = sorted((r for r in lines if r["source"] == p["source"]), key=lambda r: (r["chunk"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"]))
+        laid = [n for n, r in enumerate(own) for _ in range(r["size"])]
+        taken = [0] * len(own)
+        for s in slots:
+            if s["rank"] == p["rank"]:
+                for n in laid[s["block_index"] * p["block"] : (s["block_index"] + 1) * p["block"]]:
+                    taken[n] += 1
+        want += [(r["doc_id"], r["size"], t) for r, t in zip(own, taken)]
+    got = [(r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_sources(docs(spark, data), SMALL).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_the_mix_itself(spark):
+    data = named_rows()
+    got = mixing.mixed_blocks(docs(spark, data), SMALL).collect()
+    sized = docs(spark, data).select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    plan = {p["source"]: p for p in mixing.source_plan(sized, SMALL).collect()}
+    times, sources = {}, {}
+    for r in got:
+        found = r["text"].split(" ")
+        assert len(found) == r["n_words"] <= plan[r["source"]]["block"]
+        sources[r["source"]] = sources.get(r["source"], 0) + 1
+        for w in found:
+            times[w] = times.get(w, 0) + 1
+    assert sources == {s: p["n_slots"] for s, p in plan.items()}
+    assert all(p["n_blocks"] > 1 for p in plan.values())
+    names = {i: t.split()[0] for i, t, _ in data if t and i not in (5, None)}
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs(spark, data), SMALL).collect()}
+    assert all(times.get(w, 0) == taken[i] for i, w in names.items())
+    assert mixing.mixed_blocks(docs(spark, [(1, None, None)]), SMALL).collect() == []
+
+
+def test_mixed_documents_tells_rows_apart(spark):
+    """Null and repeated ids with different texts of one length each come as often as their own text is taken."""
+    data = [(i % 3 or None, f"w{i} " * 40, "a") for i in range(120)]
+    times = {}
+    for r in mixing.mixed_documents(docs(spark, data), SMALL).collect():
+        times[r["text"]] = times.get(r["text"], 0) + 1
+    sized = mixing._sized(docs(spark, data), mixing.text_key(F.col("text")).alias("key"))
+    taken = {bytes(r["key"]): r["taken"] for r in mixing._taken(sized, SMALL, "key").collect()}
+    import hashlib
+
+    for _, t, _ in data:
+        of = taken[hashlib.sha256(t.encode()).digest()]
+        assert of // 40 <= times.get(t, 0) <= -(-of // 40)
