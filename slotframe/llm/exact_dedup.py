@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotframe.llm.common import WHITE, keep_rows, keyed_rows, stage, text_key
+from slotframe.llm.blocked_bloom import possible_hits
+from slotframe.llm.common import WHITE, stage
+from slotframe.llm.row_keys import keep_rows, keyed_rows, text_key
 
 
 def normalised(text: Column) -> Column:
@@ -27,9 +29,10 @@ def _judged(docs: DataFrame) -> DataFrame:
     t = normalised(F.col("text"))
     rows = stage(keyed_rows(docs, F.unhex(F.md5(t)).alias("h"), F.sha2(t, 256).alias("text_sha256")), "dedup-hashes")
     repeats = stage(_repeats(rows, "h"), "dedup-groups")
-    wanted = stage(rows.join(repeats.select("h"), "h", "left_semi").select("key").distinct(), "dedup-wanted")  # texts move only where it is large
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(wanted, "key", "left_semi").select(normalised(F.col("text")).alias("t"))
-    alike = texts.groupBy(F.unhex(F.md5("t")).alias("h"), "t").agg(F.sha2(F.first("t"), 256).alias("text_sha256"))  # equal bytes are one row
+    wanted = stage(rows.join(repeats.select("h"), "h", "left_semi").select("key").distinct(), "dedup-wanted")
+    hits = possible_hits(docs.select(text_key(F.col("text")).alias("key"), "text"), wanted)  # other texts aren't shuffled
+    texts = hits.select(normalised(F.col("text")).alias("t"))
+    alike = texts.groupBy(F.unhex(F.md5("t")).alias("h"), "t").agg(F.sha2(F.first("t"), 256).alias("text_sha256"))  # equal bytes are one row, before they move
     apart = alike.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.countDistinct("text_sha256").alias("digests")).filter("texts > 1")
     collisions, unlike = apart.agg(F.count(F.lit(1)), F.count_if(F.col("texts") > F.col("digests"))).first()
     if not collisions:

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotframe.llm.common import WHITE, prefix_sums, stage, text_key, words
+from slotframe.llm.common import WHITE, prefix_sums, stage, words
+from slotframe.llm.row_keys import text_key
 
 #: Parts into which the slots are cut to find a drawn slot's source by an equi-join.
 LOOKUP_PARTS = 4096

@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotframe.llm import files
-from slotframe.llm.common import keep_rows, keyed_rows, new_path, stage, text_batches
+from slotframe.llm.common import new_path, stage, text_batches
 from slotframe.llm.components import connected_components
+from slotframe.llm.row_keys import keep_rows, keyed_rows
 
 SHINGLE_WORDS = 3
 SEED = 42

@@ -9,11 +9,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A block of the filter has so many 64-bit words; a key sets one bit in each.
-BLOCK_WORDS = 8
-BITS_PER_KEY = 16
-#: Up to this size the filter goes to all executors; a larger one is joined by block.
-BROADCAST_BYTES = 32 << 20
+from slotframe.llm.blocked_bloom import possible_hits
 
 
 @dataclass(frozen=True)
@@ -34,7 +30,8 @@ RULES = (
     Entry("com", "/fr/", "allow", True),
     Entry("com", "/de/", "block", True),
 )
-#: Unwanted sites of the registered query, for the urls that no rule fits. Fixed values.
+#: Unwanted sites of the registered query, for the urls that no rule fits: written by hand for the invented hosts of the
+#: test pages, as no public list names those. A deployment passes its own table. Fixed values.
 LISTED = tuple(
     Entry(f"{site}.example.{top}")
     for site in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm", "malware-drop", "phish-login")
@@ -50,46 +47,38 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, ascii_uppercase, ascii_lowercase), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def entry_table(spark: SparkSession, entries: Iterable[Entry]) -> DataFrame:
-    rows = [(f"{e.host}{e.path}", len(e.host.split(".")), len(e.path), len(e.host) + len(e.path), e.verdict, e.rule) for e in entries]
-    return spark.createDataFrame(rows, "key string, labels int, path_len int, length int, verdict string, rule boolean")
-
-
-def _bits(key: Column) -> list[Column]:
-    """The bit of each word of a key's block."""
-    h = F.xxhash64(key, F.lit("bits"))
-    return [(F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63))).cast("int") for i in range(BLOCK_WORDS)]
+def canonical(host: Column, path: Column) -> tuple[Column, Column]:
+    """Host without user, default port and closing dots; path never empty."""
+    host = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.*(:(80|443)?)?$", "")
+    return host, F.when(path == "", "/").otherwise(path)
 
 
-def _block(key: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_blocks))
-
-
-def build_filter(listed: DataFrame, n_blocks: int) -> DataFrame:
-    """The filter's blocks that hold a key: block, w0 .. w7."""
-    masks = [F.expr(f"shiftleft(1L, b{i})").alias(f"m{i}") for i in range(BLOCK_WORDS)]
-    keyed = listed.select(_block(F.col("key"), n_blocks).alias("block"), *(b.alias(f"b{i}") for i, b in enumerate(_bits(F.col("key")))))
-    return keyed.select("block", *masks).groupBy("block").agg(*(F.bit_or(f"m{i}").alias(f"w{i}") for i in range(BLOCK_WORDS)))
+def entry_table(spark: SparkSession, entries: Iterable[Entry]) -> DataFrame:
+    """The list as a table, which may as well be read from files: key (``r:`` or ``l:``, host, path), labels, path_len, length, verdict, rule."""
+    rows = [(f"{'r' if e.rule else 'l'}:{e.host}{e.path}", e.host.count(".") + 1, len(e.path), len(e.host) + len(e.path), e.verdict, e.rule) for e in entries]
+    return spark.createDataFrame(rows, "key string, labels int, path_len int, length int, verdict string, rule boolean")
 
 
-def possible_hits(keys: DataFrame, listed: DataFrame) -> DataFrame:
-    """The rows of ``keys`` whose ``key`` the filter of ``listed`` can't rule out; about 1 in 1,000 of them wrongly."""
-    n_blocks = max(1, -(-listed.count() * BITS_PER_KEY // (64 * BLOCK_WORDS)))
-    blocks = build_filter(listed, n_blocks)
-    if n_blocks * 8 * (BLOCK_WORDS + 1) <= BROADCAST_BYTES:
-        blocks = F.broadcast(blocks)
-    met = keys.withColumn("block", _block(F.col("key"), n_blocks)).join(blocks, "block")
-    for i, bit in enumerate(_bits(F.col("key"))):
-        met = met.filter(F.getbit(f"w{i}", bit) == 1)
-    return met.select(*keys.columns)
+def _keys(kind: str, host: Column, path: Column, labels: list[int], lengths: list[int], whole_steps: bool) -> Column:
+    """Host suffixes by path prefixes, of the numbers of labels and the lengths that the list has."""
+    numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>")  # noqa: E731  one literal, however long
+    if not labels:
+        return F.array().cast("array<string>")
+    hosts = F.transform(F.filter(numbers(labels), lambda n: n <= F.size(F.split(host, r"\."))), lambda n: F.call_function("substring_index", host, F.lit("."), -n))
+    fits = lambda n: n <= F.length(path)
+    at_step = lambda n: fits(n) & ((n == 0) | (n == F.length(path)) | (F.substr(path, n, F.lit(1)) == "/"))
+    paths = F.transform(F.filter(numbers(lengths), at_step if whole_steps else fits), lambda n: F.substr(path, F.lit(1), n))
+    return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(F.lit(kind), h, p))))
 
 
 def judge_urls(urls: DataFrame, listed: DataFrame) -> DataFrame:
     """One row for each row of ``urls`` (page_id, url): page_id, host, path, rule, verdict.
 
-    ``listed`` is an ``entry_table``. Each url gives the keys (host suffix and path prefix) of the shapes that the
-    list has; the Bloom filter drops nearly all that aren't listed, the join on the key drops the rest. The longest
-    rule that fits decides; where none fits, a listed site or page is blocked and all else allowed.
+    ``listed`` is an ``entry_table``, of any size. Each url gives its keys: host suffix and path prefix, for rules of
+    the url as it is and any prefix, for the list of the canonical url and prefixes that end at a slash or with the
+    path. The Bloom filter drops nearly all that aren't listed, the join on the key drops the rest. The longest rule
+    that fits decides; where none fits, a listed site or page is blocked and all else allowed. The plan doesn't grow
+    with the list: its numbers of labels and path lengths are one literal.
 
     Nulls and ties: a null url, or one without ``://``, has an empty host and path, and nothing fits it. Two listed
     rules of one length that fit the same url can only be of one host; the smaller key wins. Repeated rows are each
@@ -97,12 +86,15 @@ def judge_urls(urls: DataFrame, listed: DataFrame) -> DataFrame:
     """
     host, path = host_and_path(F.col("url"))
     parsed = urls.select("page_id", host.alias("host"), path.alias("path"))
-    shapes = sorted((r["labels"], r["path_len"]) for r in listed.select("labels", "path_len").distinct().collect())  # by labels and length of an URL
-    fits = [F.when((F.size(F.split("host", r"\.")) >= n) & (F.length("path") >= k), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, k))) for n, k in shapes]
-    keys = parsed.filter("host <> ''").select("host", "path").select("host", "path", F.explode(F.array_distinct(F.array_compact(F.array(*fits or [F.lit(None).cast("string")])))).alias("key"))
+    shapes = {r["rule"]: (sorted(r["labels"]), sorted(r["lengths"])) for r in listed.groupBy("rule").agg(F.collect_set("labels").alias("labels"), F.collect_set("path_len").alias("lengths")).collect()}
+    sites = parsed.filter("host <> ''").select("host", "path").distinct()
+    bare, full = canonical(F.col("host"), F.col("path"))
+    sites = sites.select("host", "path", bare.alias("bare"), full.alias("full"))
+    every = F.concat(_keys("r:", F.col("host"), F.col("path"), *shapes.get(True, ([], [])), False), _keys("l:", F.col("bare"), F.col("full"), *shapes.get(False, ([], [])), True))
+    keys = sites.select("host", "path", F.explode(F.array_distinct(every)).alias("key"))
     hits = possible_hits(keys, listed).join(listed.select("key", "length", "verdict", "rule"), "key")
     best = hits.groupBy("host", "path").agg(
-        F.max(F.when(F.col("rule"), F.struct("length", "key", "verdict"))).alias("best"),
+        F.max(F.when(F.col("rule"), F.struct("length", F.substring("key", 3, 1 << 30).alias("key"), "verdict"))).alias("best"),
         F.bool_or(~F.col("rule") & (F.col("verdict") == "block")).alias("listed"),
     )
     judged = parsed.join(best, ["host", "path"], "left")
@@ -117,8 +109,10 @@ WITH e(h, p, v, r) AS (VALUES {values}),
 u AS (SELECT page_id, row_number() OVER () AS n, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT page_id, n, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{ascii_uppercase}', '{ascii_lowercase}') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+c AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.*(:(80|443)?)?$', '') AS bare, CASE path WHEN '' THEN '/' ELSE path END AS full_path FROM s),
 m AS (SELECT n, max_by(h || p, length(h || p)) FILTER (r) AS rule, max_by(v, length(h || p)) FILTER (r) AS v, bool_or(NOT r AND v = 'block') AS listed
-      FROM s JOIN e ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n)
+      FROM c JOIN e ON CASE WHEN r THEN (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        ELSE (bare = h OR ends_with(bare, '.' || h)) AND (p = '' OR full_path = p OR ends_with(p, '/') AND starts_with(full_path, p)) END GROUP BY n)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
 FROM s LEFT JOIN m USING (n)
 """

@@ -6,7 +6,7 @@ from base64 import b32encode
 
 import pytest
 
-from slotframe.llm import html_text, url_filter, warc
+from slotframe.llm import blocked_bloom, html_text, url_filter, warc
 from slotframe.llm.html_text import main_text
 from slotframe.llm.url_filter import Entry
 
@@ -74,15 +74,18 @@ def judge(url, entries):
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host) :])[0]
     host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
-    fits = [e for e in entries if (host == e.host or host.endswith("." + e.host)) and path.startswith(e.path)]
-    rules = sorted((e for e in fits if e.rule), key=lambda e: len(e.host + e.path))
-    return host, path, rules[-1].host + rules[-1].path if rules else None, rules[-1].verdict if rules else "block" if any(e.verdict == "block" for e in fits if not e.rule) else "allow"
+    of = lambda h, e: h == e.host or h.endswith("." + e.host)
+    rules = sorted((e for e in entries if e.rule and of(host, e) and path.startswith(e.path)), key=lambda e: len(e.host + e.path))
+    bare, full = re.sub(r"\.*(:(80|443)?)?$", "", re.sub("^.*@", "", host)), path or "/"
+    listed = [e for e in entries if not e.rule and of(bare, e) and (e.path in ("", full) or e.path.endswith("/") and full.startswith(e.path))]
+    return host, path, rules[-1].host + rules[-1].path if rules else None, rules[-1].verdict if rules else "block" if any(e.verdict == "block" for e in listed) else "allow"
 
 
 def test_urls(spark):
-    entries = (*url_filter.RULES, *url_filter.LISTED, Entry("h", "/deep/page", "block"))
+    entries = (*url_filter.RULES, *url_filter.LISTED, Entry("h", "/deep/page7", "block"), Entry("h", "/dir/", "block"), Entry("h", "/", "allow"), Entry("i.h", "/", "block"))
     listed = url_filter.entry_table(spark, entries)
-    urls = [*URLS, *(f"http://www{i}.h/deep/page{i}" for i in range(50)), "http://a.org/x"]
+    more = ["http://h/dir", "http://h/dir/", "http://h/dir/x/y", "http://h/dirx/", "http://u:p@h:443/dir/a", "http://h.:80/deep/page7", "http://h:8080/dir/", "http://cheap-pills.example.com.:443", "http://i.h", "http://i.h?q", "http://j.i.h/x"]
+    urls = [*URLS, *(f"http://www{i}.h/deep/page{i}" for i in range(50)), *more, "http://a.org/x"]
     got = url_filter.judge_urls(pages(spark, [(i, u, None) for i, u in enumerate(urls)]), listed).orderBy("page_id").collect()
     assert [tuple(r)[1:] for r in got] == [judge(u, entries) for u in urls]
     assert url_filter.judge_urls(pages(spark, []), listed).collect() == []
@@ -94,8 +97,18 @@ def test_filter_rules_most_out_and_never_a_member(spark):
     listed = url_filter.entry_table(spark, [Entry(f"site{i}.net") for i in range(2000)])
     members = listed.select("key")
     others = spark.range(5000).selectExpr("concat('other', id, '.net') AS key")
-    assert url_filter.possible_hits(members, listed).count() == 2000
-    assert url_filter.possible_hits(others, listed).count() < 100
+    assert blocked_bloom.possible_hits(members, listed).count() == 2000
+    assert blocked_bloom.possible_hits(others, listed).count() < 100
+
+
+def test_plan_does_not_grow_with_the_list(spark):
+    plans, few, many = [], [Entry(f"s{i}.net", "/p" * (i % 40)) for i in range(40)], [Entry(f"s{i}.net", "/p" * (i % 40)) for i in range(100_000)]
+    urls = pages(spark, [(1, "http://s99999.net" + "/p" * 39, None), (2, "http://s99999.net" + "/p" * 38, None), (3, "http://s100000.net/p", None), (4, "http://x.s40.net/q", None)])
+    for entries in (few, many):
+        judged = url_filter.judge_urls(urls, url_filter.entry_table(spark, entries))
+        plans.append(len(judged._jdf.queryExecution().analyzed().toString().splitlines()))
+    assert [r["verdict"] for r in judged.orderBy("page_id").collect()] == ["block", "allow", "allow", "block"]
+    assert plans[0] == plans[1]
 
 
 # ---- archives
