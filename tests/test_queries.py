@@ -1,6 +1,10 @@
 """Every registered query with reference SQL gives the rows that DuckDB gives, at the smallest size."""
 
 import decimal
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -55,6 +59,25 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("gone", [["slotframe/llm"], ["corpus_pipeline.py"], ["slotframe/llm", "corpus_pipeline.py"]])
+def test_queries_without_the_training_data_operators(tmp_path, gone):
+    """A copy of the tree without them still registers all other queries."""
+    root = Path(__file__).resolve().parents[1]
+    ignore = shutil.ignore_patterns("__pycache__", ".git", "tests")
+    shutil.copytree(root, tmp_path / "tree", ignore=ignore)
+    for name in gone:
+        at = tmp_path / "tree" / name
+        if at.is_dir():
+            shutil.rmtree(at)
+        else:
+            at.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), len(e.oracle_sql()), 'pipeline' in q, 'op3_exact_dedup' in q)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "tree", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""}, check=True).stdout.split()
+    assert int(out[0]) >= len(QUERIES) and int(out[1]) >= len(ORACLE_SQL) and out[2] == "False"
+    if "slotframe/llm" in gone:
+        assert out[3] == "False" and int(out[0]) == len(QUERIES)
+
+
 def test_true_crc64_covers_long_urls(spark, tmp_path):
     from slotframe.functions.codecs import crc64_all
 
