@@ -31,7 +31,7 @@ FANOUT = 8
 #: Fingerprints of a block, and the number of blocks from which on blocks grow instead; a block's name and top node go to the driver.
 BLOCK, MOST_BLOCKS = 1 << 14, 1 << 16
 #: Pairs of nodes that a search has before it at once, and links held before they are reduced to a forest.
-FRONTIER, PAIRS = 1 << 19, 1 << 20
+FRONTIER, PAIRS = 1 << 16, 1 << 18
 
 
 def fingerprint(text: bytes) -> int:
