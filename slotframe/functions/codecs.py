@@ -73,8 +73,8 @@ def crc64_hex(data: pd.Series) -> pd.Series:
 
 @F.pandas_udf(LongType())
 def filter_hash(item: pd.Series, n: pd.Series) -> pd.Series:
-    """The n-th filter hash of a text, as the long of equal bits: XXH64 under the n-th seed, modulo 64 seeds."""
-    return pd.Series([xxhash.xxh64_intdigest(x.encode(), FILTER_SEEDS[k & 63]) for x, k in zip(item, n)], dtype="uint64").astype("int64")
+    """The n-th filter hash of a text, as the long of equal bits: XXH64 under the n-th seed, modulo 64 seeds. Null counts as empty."""
+    return pd.Series([xxhash.xxh64_intdigest((x or "").encode(), FILTER_SEEDS[int(k) & 63]) for x, k in zip(item, n)], dtype="uint64").astype("int64")
 
 
 @F.pandas_udf(StringType())
@@ -85,4 +85,8 @@ def double_hex(x: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def double_from_hex(x: pd.Series) -> pd.Series:
-    return pd.Series(np.frombuffer(bytes.fromhex("".join(x)), "<f8"))
+    """The double of ``double_hex``; null for null."""
+    known = x.notna()
+    out = pd.array([None] * len(x), dtype="Float64")
+    out[known.to_numpy()] = np.frombuffer(bytes.fromhex("".join(x[known])), "<f8")
+    return pd.Series(out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotframe.operators.staging import stage, stage_counted
@@ -38,9 +38,17 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> D
     return seen
 
 
-def trace(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every edge that a traversal from the roots passes, once; the roots themselves aren't called."""
-    seen = reach(edges, roots)
+def trace(edges: DataFrame, roots: DataFrame, recurse: Column | None = None) -> DataFrame:
+    """Every edge that a traversal from the roots passes, once; the roots themselves aren't called.
+
+    ``recurse``: a condition on dst. Pages that don't meet it are found, but their references aren't followed; a root's
+    always are.
+    """
+    within = edges if recurse is None else edges.join(edges.filter(recurse).select(F.col("dst").alias("src")).unionByName(roots.select(F.col("page_id").alias("src"))).distinct(), "src", "left_semi")
+    return _passed(within, reach(within, roots))
+
+
+def _passed(edges: DataFrame, seen: DataFrame) -> DataFrame:
     return edges.join(seen.select(F.col("page_id").alias("src")), "src", "left_semi")
 
 
@@ -88,7 +96,8 @@ def violations(updates: DataFrame) -> DataFrame:
 def cascade(counts: DataFrame, dead: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """page_id and depth of all pages that die when ``dead`` (page_id) are released, depth 0 themselves.
 
-    ``counts``: page_id, refs. A page dies when as many references as it has came from dead pages.
+    ``counts``: page_id, refs. A page dies when as many references as it has came from dead pages. References that go
+    deeper than ``max_depth`` levels raise an error, as the graphs of this kind have no such depth.
     """
     gone = stage(dead.select("page_id").distinct().withColumn("depth", F.lit(0)))
     front = gone
@@ -98,6 +107,8 @@ def cascade(counts: DataFrame, dead: DataFrame, edges: DataFrame, max_depth: int
         died = lost.join(counts, "page_id").filter("lost >= refs").join(gone, "page_id", "left_anti")
         front, n = stage_counted(died.select("page_id", F.lit(depth).alias("depth")))
         if not n:
-            break
+            return gone
         gone = gone.unionByName(front)
-    return gone
+    if max_depth > 1 and out_refs(edges, front).isEmpty():
+        return gone
+    raise RuntimeError(f"pages still die at depth {max_depth - 1}, the deepest that is allowed")

@@ -92,3 +92,21 @@ def pending_trim(trims: DataFrame, trim_pos: Column) -> DataFrame:
     """The last trim event (seq, old_trim, new_trim), if the log was not yet trimmed that far."""
     last = trims.agg(F.max_by(F.struct("seq", "old_trim", "new_trim"), "seq").alias("x")).filter("x IS NOT NULL").select("x.*")
     return last.filter(trim_pos < F.col("new_trim"))
+
+
+def allocate(first: DataFrame, places: int) -> DataFrame:
+    """Add status to clients (client, slot, unique): those that come after ``places`` others get none."""
+    status = F.when(F.col("_n") <= places, "kOk").otherwise("kOutOfAttachments")
+    return running(first, (), "slot", F.lit(1), "sum", "_n").select("client", "slot", status.alias("status"))
+
+
+def out_of_order(jobs: DataFrame) -> DataFrame:
+    """Resolved jobs whose user's job before is unresolved or was resolved later: user_id, prepare_slot, previous, code.
+
+    Chained jobs become durable in order, so any row is a violation.
+    """
+    done = jobs.filter("kind <> 'prepare'").groupBy("prepare_slot").agg(F.min("seq").alias("done"))
+    chained = previous_user_slot(jobs).select("user_id", "prepare_slot", F.col("prev_user_slot").alias("previous")).filter("previous IS NOT NULL")
+    before = done.select(F.col("prepare_slot").alias("previous"), F.col("done").alias("before"))
+    met = chained.join(done, "prepare_slot").join(before, "previous", "left").filter("before IS NULL OR before > done")
+    return met.select("user_id", "prepare_slot", "previous", F.when(F.col("before").isNull(), "previous_unresolved").otherwise("previous_later").alias("code"))

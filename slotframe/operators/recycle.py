@@ -37,3 +37,15 @@ def accepted(requests: DataFrame) -> DataFrame:
     """Requests above all that came before in (trim_slot, page_index); others are repeats. ``requests`` have an arrival."""
     rows = running(requests, ("volume",), "arrival", F.struct("trim_slot", "page_index"), "max", "_best", inclusive=False)
     return rows.filter(F.col("_best").isNull() | (F.struct("trim_slot", "page_index") > F.col("_best"))).drop("_best")
+
+
+def checkpoint(rows: DataFrame, keys: list[str], end: DataFrame, *columns: str) -> DataFrame:
+    """The objects to write again at the log's end, oldest first, so that the log can be trimmed to a target.
+
+    ``rows``: keys, slot, columns; an object's latest row counts. ``end``: one row of log_end and trim_target. Gives the
+    keys, columns, old_slot, and new_slot from log_end on.
+    """
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "slot").alias("x"), F.max("slot").alias("slot"))
+    old = last.crossJoin(F.broadcast(end)).filter("slot < trim_target")
+    numbered = running(old, (), "slot", F.lit(1), "sum", "_n")
+    return numbered.select(*keys, *(F.col(f"x.{c}").alias(c) for c in columns), F.col("slot").alias("old_slot"), (F.col("log_end") + F.col("_n") - 1).cast("long").alias("new_slot"))

@@ -11,8 +11,9 @@ from slotframe.plans.sql import EDGES, RUNS, UPDATES, node
 from slotframe.sources import adapters
 
 C = F.col
-#: Orders below this are the roots of the traversals. Part of the query, as a user names the roots to follow.
-ROOTS_BELOW = 50
+#: The roots of the traversals are the open orders, the new pages of a job all orders that aren't finished; finished
+#: ones are deleted, and customers in debt lose their root.
+OPEN, NEW, DELETED, DEBT = "o_orderstatus = 'O'", "o_orderstatus <> 'F'", "o_orderstatus = 'F'", "c_acctbal < 0"
 
 
 def _pages(spark, d, kind, key, condition=None):
@@ -26,14 +27,14 @@ def _kept_edges(spark, d):
 
 
 def _roots(spark, d):
-    return _pages(spark, d, "orders", "o_orderkey", f"o_orderkey < {ROOTS_BELOW}")
+    return _pages(spark, d, "orders", "o_orderkey", OPEN)
 
 
-_REACH = f"""RECURSIVE {EDGES}, reach AS (SELECT {node(5, 'o_orderkey')} AS page_id FROM orders WHERE o_orderkey < {ROOTS_BELOW}
+_REACH = f"""RECURSIVE {EDGES}, reach AS (SELECT {node(5, 'o_orderkey')} AS page_id FROM orders WHERE {OPEN}
 UNION SELECT dst FROM reach JOIN edges ON src = page_id)"""
 
 
-@query(f"WITH {EDGES} SELECT src, dst FROM edges WHERE src IN (SELECT {node(5, 'o_orderkey')} FROM orders WHERE o_orderkey < {ROOTS_BELOW})")
+@query(f"WITH {EDGES} SELECT src, dst FROM edges WHERE src IN (SELECT {node(5, 'o_orderkey')} FROM orders WHERE {OPEN})")
 def trace_refs(spark, d):
     return graph.out_refs(adapters.edges(spark, d), _roots(spark, d)).select("src", "dst")
 
@@ -68,9 +69,9 @@ def prune_job(spark, d):
     return graph.unreachable(new, _roots(spark, d), _kept_edges(spark, d))
 
 
-_DELTA = f"""RECURSIVE {EDGES}, np AS (SELECT {node(5, 'o_orderkey')} AS page_id FROM orders WHERE o_orderkey < 200),
-nr AS (SELECT {node(5, 'o_orderkey')} AS page_id FROM orders WHERE o_orderkey < 100), orr AS (SELECT {node(3, 'c_custkey')} AS page_id FROM customer WHERE c_custkey % 20 = 1),
-del AS (SELECT {node(5, 'o_orderkey')} AS page_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey >= 200),
+_DELTA = f"""RECURSIVE {EDGES}, np AS (SELECT {node(5, 'o_orderkey')} AS page_id FROM orders WHERE {NEW}),
+nr AS (SELECT {node(5, 'o_orderkey')} AS page_id FROM orders WHERE {OPEN}), orr AS (SELECT {node(3, 'c_custkey')} AS page_id FROM customer WHERE {DEBT}),
+del AS (SELECT {node(5, 'o_orderkey')} AS page_id FROM orders WHERE {DELETED}),
 reach AS (SELECT page_id FROM nr UNION SELECT dst FROM reach JOIN edges ON src = page_id), live AS (SELECT page_id FROM np WHERE page_id IN (SELECT page_id FROM reach)),
 s AS (SELECT page_id, 1 AS d FROM live UNION ALL SELECT page_id, 1 FROM nr UNION ALL SELECT page_id, -1 FROM orr
 UNION ALL SELECT dst, 1 FROM edges WHERE src IN (SELECT page_id FROM live) UNION ALL SELECT dst, -1 FROM edges WHERE src IN (SELECT page_id FROM del)),
@@ -79,10 +80,10 @@ delta AS (SELECT page_id, CAST(sum(d) AS BIGINT) AS delta FROM s WHERE page_id N
 
 def _deltas(spark, d):
     return graph.deltas(
-        _pages(spark, d, "orders", "o_orderkey", "o_orderkey < 200"),
-        _pages(spark, d, "orders", "o_orderkey", "o_orderkey < 100"),
-        _pages(spark, d, "customer", "c_custkey", "c_custkey % 20 = 1"),
-        _pages(spark, d, "orders", "o_orderkey", "o_orderstatus = 'F' AND o_orderkey >= 200"),
+        _pages(spark, d, "orders", "o_orderkey", NEW),
+        _pages(spark, d, "orders", "o_orderkey", OPEN),
+        _pages(spark, d, "customer", "c_custkey", DEBT),
+        _pages(spark, d, "orders", "o_orderkey", DELETED),
         _kept_edges(spark, d),
     )
 

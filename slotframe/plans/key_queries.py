@@ -24,11 +24,11 @@ def trie_get_key(spark, d):
     return keys.ranked(_names(spark, d))
 
 
-@query(f"""WITH {_KEYS}, p AS (SELECT DISTINCT c_mktsegment AS probe FROM customer UNION SELECT url FROM pages WHERE page_id % 3 = 0 UNION SELECT url || 'x' FROM pages)
+@query(f"""WITH {_KEYS}, p AS (SELECT DISTINCT c_mktsegment AS probe FROM customer UNION SELECT url FROM pages UNION SELECT url || 'x' FROM pages)
 SELECT probe, (SELECT count(*) FROM k WHERE key < probe) AS lo, (SELECT count(*) FROM k WHERE key <= probe) AS hi FROM p""")
 def trie_find(spark, d):
     pages = adapters.table(spark, d, "pages")
-    probes = adapters.table(spark, d, "customer").select(C("c_mktsegment").alias("probe")).unionByName(pages.filter("page_id % 3 = 0").select(C("url").alias("probe"))).unionByName(pages.select(F.concat("url", F.lit("x")).alias("probe")))
+    probes = adapters.table(spark, d, "customer").select(C("c_mktsegment").alias("probe")).unionByName(pages.select(C("url").alias("probe"))).unionByName(pages.select(F.concat("url", F.lit("x")).alias("probe")))
     return keys.find(_names(spark, d), probes)
 
 

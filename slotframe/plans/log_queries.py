@@ -104,7 +104,12 @@ def typed_volume_read(spark, d):
 
 @query(f"WITH {BOUNDED} SELECT count(*) AS n, max(slot_upper) AS visited_upper FROM framed, b WHERE kind IN ('raw', 'commit') AND slot_lower >= trim_pos AND slot_upper <= flush_pos")
 def raw_chunk_parse(spark, d):
-    return log.progress(log.user_slots(log.in_range(_bounded(spark, d), C("trim_pos"), C("flush_pos"))))
+    """The log's bytes, parsed back; a slot counts if all of it lies in the chunk."""
+    tags = {tag: kind for kind, tag in adapters.KINDS.values()}
+    kind = F.create_map(*(F.lit(x) for pair in tags.items() for x in pair))[C("kind_tag")]
+    parsed = raw_log.parse(raw_log.pack(_framed(spark, d))).withColumn("kind", kind)
+    bounded = log.with_bounds(parsed, adapters.log(spark, d))
+    return log.progress(log.user_slots(log.in_range(bounded, C("trim_pos"), C("flush_pos"))))
 
 
 _REQUESTS = ((1, "trim_pos", "flush_pos"), (2, "flush_pos", "trim_pos"), (3, "0", "trim_pos"), (4, "trim_pos", "commit_pos + 100"), (5, "flush_pos", "flush_pos"))
@@ -119,10 +124,10 @@ def get_root_log_data(spark, d):
     return log.read_bytes(rows, b.select(C("trim_pos").alias("locked"), C("commit_pos").alias("log_end")))
 
 
-@query("SELECT o_orderkey AS request, ((3::BIGINT << 56) | o_custkey) AS page_id, c_name AS payload FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey AS request, ((3::BIGINT << 56) | o_custkey) AS page_id, c_name AS payload FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def page_scan(spark, d):
     pages = adapters.table(spark, d, "customer").select(adapters.node("customer", "c_custkey").alias("page_id"), C("c_name").alias("payload"))
-    wanted = adapters.table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(C("o_orderkey").alias("request"), adapters.node("customer", "o_custkey").alias("page_id"))
+    wanted = adapters.table(spark, d, "orders").select(C("o_orderkey").alias("request"), adapters.node("customer", "o_custkey").alias("page_id"))
     return wanted.join(pages, "page_id", "left").select("request", "page_id", "payload")
 
 
@@ -387,6 +392,32 @@ def volume_recover(spark, d):
     return scan.crossJoin(F.broadcast(waiting)).select("slots", "pending_jobs", "user_slots", "attached")
 
 
+@query(f"""WITH {EV}, a AS (SELECT user_id AS client, min(seq) AS slot FROM ev WHERE kind = 'attach' GROUP BY 1)
+SELECT client, slot, CASE WHEN row_number() OVER (ORDER BY slot) <= 100 THEN 'kOk' ELSE 'kOutOfAttachments' END AS status FROM a""")
+def attachment_alloc(spark, d):
+    """Clients that attach, in order, to an allocator with 100 places; which free place one gets isn't determined."""
+    first = adapters.log(spark, d, "attach").groupBy(C("user_id").alias("client")).agg(F.min("seq").alias("slot"))
+    return jobs.allocate(first, 100)
+
+
+@query(f"""WITH {JOBS}, done AS (SELECT prepare_slot, min(seq) AS done_slot FROM jobs WHERE kind <> 'prepare' GROUP BY 1),
+p AS (SELECT user_id, prepare_slot, lag(prepare_slot) OVER (PARTITION BY user_id ORDER BY prepare_slot) AS previous FROM jobs WHERE kind = 'prepare')
+SELECT user_id, p.prepare_slot, previous, CASE WHEN b.done_slot IS NULL THEN 'previous_unresolved' ELSE 'previous_later' END AS code
+FROM p JOIN done a ON a.prepare_slot = p.prepare_slot LEFT JOIN done b ON b.prepare_slot = previous WHERE previous IS NOT NULL AND (b.done_slot IS NULL OR b.done_slot > a.done_slot)""")
+def job_pipeline(spark, d):
+    return jobs.out_of_order(jobs.linked(_job_log(spark, d)))
+
+
+@query("""WITH o AS (SELECT o_custkey AS page_id, max_by(o_orderkey % 5, o_orderkey) AS ref_count, max(o_orderkey) AS slot FROM orders GROUP BY 1),
+e AS (SELECT max(o_orderkey) + 1 AS log_end, max(o_orderkey) // 2 AS trim_target FROM orders)
+SELECT page_id, ref_count, slot AS old_slot, log_end + row_number() OVER (ORDER BY slot) - 1 AS new_slot FROM o, e WHERE slot < trim_target""")
+def checkpoint_slice(spark, d):
+    """The objects whose latest record keeps the log's older half are written again at its end."""
+    rows = adapters.table(spark, d, "orders").select(C("o_custkey").alias("page_id"), (C("o_orderkey") % 5).alias("ref_count"), C("o_orderkey").alias("slot"))
+    end = rows.agg((F.max("slot") + 1).alias("log_end"), F.floor(F.max("slot") / 2).alias("trim_target"))
+    return recycle.checkpoint(rows, ["page_id"], end, "ref_count")
+
+
 # ---- recycling
 
 
@@ -473,9 +504,9 @@ def lru_tick(spark, d):
     return own.agg(F.max("tick").alias("tick"), F.count(F.lit(1)).alias("threads"))
 
 
-@query("""SELECT user_id, last_update FROM (SELECT user_id, max(event_id) AS last_update FROM events GROUP BY 1) ORDER BY last_update LIMIT 10""")
+@query("SELECT user_id, max(event_id) AS last_update FROM events GROUP BY 1 ORDER BY last_update")
 def lru_order(spark, d):
-    return adapters.table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("last_update")).orderBy("last_update").limit(10)
+    return adapters.table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("last_update")).orderBy("last_update")
 
 
 @query("SELECT max(o_orderkey) AS allocated FROM orders WHERE o_orderstatus = 'F'")

@@ -184,3 +184,24 @@ def test_traversals_have_no_depth_bound(spark):
     p = lambda ids: spark.createDataFrame([(i,) for i in ids], "page_id long").coalesce(1)
     assert {tuple(x) for x in graph.reach(e, p([0])).collect()} == {(i, i) for i in range(n + 1)}
     assert [x[0] for x in graph.unreachable(p([1, n, n + 1]), p([0]), e).collect()] == [n + 1]
+
+
+def test_deep_chains(spark):
+    """A traversal doesn't stop at the depth that bounds releases; a release that deep raises."""
+    n = graph.MAX_DEPTH + 4
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    root = spark.createDataFrame([(0,)], "page_id long")
+    assert graph.trace(chain, root).count() == n
+    some = sorted(r["dst"] for r in graph.trace(chain, root, recurse=F.col("dst") < 3).collect())
+    assert some == [1, 2, 3]
+    counts = chain.groupBy(F.col("dst").alias("page_id")).agg(F.count(F.lit(1)).alias("refs"))
+    with pytest.raises(RuntimeError, match="deepest"):
+        graph.cascade(counts, root, chain, max_depth=3)
+
+
+def test_codecs_of_nulls(spark):
+    from slotframe.functions import codecs
+
+    rows = spark.createDataFrame([(None, None, 1), ("000000000000f03f", "a", 2)], "code string, item string, n int")
+    got = rows.select(codecs.double_from_hex("code").alias("x"), codecs.filter_hash("item", "n").alias("h")).collect()
+    assert [r["x"] for r in got] == [None, 1.0] and all(r["h"] is not None for r in got)
