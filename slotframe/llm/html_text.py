@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotframe.llm.common import text_batches
+
 #: Elements whose content is no text. What stands in a raw one is no markup, so without an end it takes the rest of the
 #: page (a title within svg may be self-closed); of the others only the tag goes then.
 RAW = "script|style|title(?![^<>]*/>)"
@@ -341,5 +343,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
     a page cut short ends its last block there. Null ids and urls are passed on, repeated rows are each extracted,
     an empty table gives an empty result. Only the three columns named are read.
     """
-    rows = pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string")
+    rows = text_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(_extract, "page_id long, url string, text string")
     return rows.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -59,6 +59,8 @@ def test_extract(spark):
     got = sorted(map(tuple, html_text.extract_text(pages(spark, rows)).collect()), key=str)
     assert got == sorted([(1, "u", LONG, len(LONG)), (2, None, "", 0), (None, "v", "", 0), (1, "u", LONG, len(LONG))], key=str)
     assert html_text.extract_text(pages(spark, [])).collect() == []
+    whole = pages(spark, rows).selectExpr("cast(page_id AS int) AS page_id", "url", "html")
+    assert sorted(map(tuple, html_text.extract_text(whole).collect()), key=str) == got
 
 
 # ---- urls
