@@ -88,6 +88,33 @@ def locked_lower_bound(locks: DataFrame) -> DataFrame:
     return locks.agg(F.coalesce(held, F.max("upper")).alias("lower_bound"))
 
 
+def trim_grants(locks: DataFrame, requests: DataFrame) -> DataFrame:
+    """at, target, granted: how far each trim may go, the least of its target and the lower bounds of locks then held.
+
+    ``locks``: lower, released. A lock is taken at its lower bound and held up to, not at, the position of its release;
+    null is a lock still held. ``requests``: at, target; those without a position are left out. The earliest lock that
+    a release after ``at`` ends is the lowest one held, or was taken later and pins nothing, so one running maximum
+    from the log's end finds it for all requests.
+    """
+    held = locks.filter("released IS NULL").agg(F.min("lower").alias("_held"))
+    ended = locks.filter("released IS NOT NULL").select((F.col("released") * -2).alias("_order"), "lower", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("target"))
+    asked = requests.filter("at IS NOT NULL").select((F.col("at") * -2 - 1).alias("_order"), F.lit(None).cast("long").alias("lower"), "at", "target")
+    rows = running(ended.unionByName(asked), (), "_order", -F.col("lower"), "max", "_open").filter("at IS NOT NULL")
+    pins = lambda lower: F.when(lower <= F.col("at"), lower)
+    granted = F.least("target", pins(-F.col("_open")), pins(F.col("_held")))
+    return rows.crossJoin(F.broadcast(held)).select("at", "target", granted.alias("granted"))
+
+
+def latencies(jobs: DataFrame, times: DataFrame) -> DataFrame:
+    """kind, n, total_us, min_us, max_us: the time from a job's prepare to each commit or rollback of it.
+
+    ``times``: seq, us. A record without a time is counted, but adds nothing to the times.
+    """
+    ends = jobs.filter("kind <> 'prepare'").join(times.select("seq", F.col("us").alias("_end")), "seq")
+    took = ends.join(times.select(F.col("seq").alias("prepare_slot"), F.col("us").alias("_begin")), "prepare_slot").withColumn("_us", F.col("_end") - F.col("_begin"))
+    return took.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("_us").alias("total_us"), F.min("_us").alias("min_us"), F.max("_us").alias("max_us"))
+
+
 def pending_trim(trims: DataFrame, trim_pos: Column) -> DataFrame:
     """The last trim event (seq, old_trim, new_trim), if the log was not yet trimmed that far."""
     last = trims.agg(F.max_by(F.struct("seq", "old_trim", "new_trim"), "seq").alias("x")).filter("x IS NOT NULL").select("x.*")

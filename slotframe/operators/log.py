@@ -133,6 +133,12 @@ def predecessor(df: DataFrame, order: str, value: str, out: str, keys: tuple[str
     return rows.withColumn(out, F.coalesce(found, F.lit(first)) if first is not None else found).drop("_chunk", "_first", "_lag", "_carried")
 
 
+def sort_segments(segments: DataFrame) -> DataFrame:
+    """base, n_bytes and gap of log segments in order: gap is the bytes missing since the end of the one before, or shared with it if below 0."""
+    ends = segments.select("base", "n_bytes", (F.col("base") + F.col("n_bytes")).alias("_end"))
+    return predecessor(ends, "base", "_end", "_before", first=0).select("base", "n_bytes", (F.col("base") - F.col("_before")).alias("gap")).orderBy("base")
+
+
 def monotone_violations(slots: DataFrame) -> DataFrame:
     """n slots, and those whose upper bound isn't above that of the slot visited before."""
     seen = predecessor(slots, "seq", "slot_upper", "before")

@@ -49,3 +49,13 @@ def checkpoint(rows: DataFrame, keys: list[str], end: DataFrame, *columns: str)
     old = last.crossJoin(F.broadcast(end)).filter("slot < trim_target")
     numbered = running(old, (), "slot", F.lit(1), "sum", "_n")
     return numbered.select(*keys, *(F.col(f"x.{c}").alias(c) for c in columns), F.col("slot").alias("old_slot"), (F.col("log_end") + F.col("_n") - 1).cast("long").alias("new_slot"))
+
+
+def drop_pages(pages: DataFrame, drops: DataFrame) -> DataFrame:
+    """Pages (physical, generation) that the drops (physical, generation) leave.
+
+    A drop removes its own generation of a physical page and older ones, so a repeated or late drop can't harm a page
+    that was written there since. A page or a drop without a generation changes nothing: the page stays.
+    """
+    newest = drops.groupBy("physical").agg(F.max("generation").alias("_dropped"))
+    return pages.join(newest, "physical", "left").filter(F.col("_dropped").isNull() | F.col("generation").isNull() | (F.col("generation") > F.col("_dropped"))).drop("_dropped")

@@ -266,10 +266,13 @@ def job_committed(spark, d):
     return jobs.committed(jobs.linked(_job_log(spark, d)))
 
 
-@query(f"""WITH {PENDING}, att AS (SELECT user_id % 7 AS device, max(seq) AS user_slot FROM ev WHERE kind = 'attach' AND seq < 9 * (SELECT max(seq) FROM ev) // 10 GROUP BY 1),
-each AS (SELECT prepare_slot, user_id % 3 AS device FROM pending UNION ALL SELECT prepare_slot, user_id % 8 FROM pending)
-SELECT prepare_slot, CASE WHEN bool_or(user_slot IS NULL) THEN 'fatal' WHEN bool_or(user_slot >= prepare_slot) THEN 'commit' ELSE 'rollback' END AS decision
-FROM each LEFT JOIN att USING (device) GROUP BY 1""")
+_RESOLVED = f"""{PENDING}, att AS (SELECT user_id % 7 AS device, max(seq) AS user_slot FROM ev WHERE kind = 'attach' AND seq < 9 * (SELECT max(seq) FROM ev) // 10 GROUP BY 1),
+each AS (SELECT prepare_slot, user_id % 3 AS device FROM pending UNION ALL SELECT prepare_slot, user_id % 8 FROM pending),
+resolved AS (SELECT prepare_slot, CASE WHEN bool_or(user_slot IS NULL) THEN 'fatal' WHEN bool_or(user_slot >= prepare_slot) THEN 'commit' ELSE 'rollback' END AS decision
+FROM each LEFT JOIN att USING (device) GROUP BY 1)"""
+
+
+@query(f"WITH {_RESOLVED} SELECT prepare_slot, decision FROM resolved")
 def job_resolution(spark, d):
     rows = adapters.log(spark, d)
     end = rows.agg(F.floor(9 * F.max("seq") / 10).alias("end"))
@@ -335,6 +338,20 @@ def sequence_chain(spark, d):
     return log.predecessor(_framed(spark, d), "seq", "slot_upper", "prev_upper", first=0).select(C("seq").alias("i"), "prev_upper", C("slot_upper").alias("upper"))
 
 
+@query(f"""WITH {FRAMED}, s AS (SELECT min(slot_lower) AS base, max(slot_upper) AS upper FROM framed GROUP BY seq // 1000)
+SELECT base, upper - base AS n_bytes, base - coalesce(lag(upper) OVER (ORDER BY base), 0) AS gap FROM s ORDER BY base""")
+def sort_segments(spark, d):
+    return log.sort_segments(raw_log.pack(_framed(spark, d)).select("base", F.octet_length("data").cast("long").alias("n_bytes")))
+
+
+@query("""SELECT o_orderkey AS physical, o_orderkey % 8 AS generation FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey % 8 >= o_orderkey % 8)""")
+def page_drop(spark, d):
+    """Line items drop generations of their orders' pages, again and late."""
+    pages = adapters.table(spark, d, "orders").select(C("o_orderkey").alias("physical"), (C("o_orderkey") % 8).alias("generation"))
+    drops = adapters.table(spark, d, "lineitem").select(C("l_orderkey").alias("physical"), (C("l_suppkey") % 8).alias("generation"))
+    return recycle.drop_pages(pages, drops)
+
+
 # ---- trimming and recovery
 
 
@@ -382,14 +399,27 @@ def locked_lower_bound(spark, d):
     return jobs.locked_lower_bound(_framed(spark, d).select(C("slot_lower").alias("lower"), C("slot_upper").alias("upper"), held.alias("held")))
 
 
-@query(f"""WITH {PENDING} SELECT (SELECT count(*) FROM ev) AS slots, (SELECT count(*) FROM pending) AS pending_jobs, (SELECT count(*) FROM ev WHERE kind IN ('raw', 'commit')) AS user_slots,
-(SELECT count(DISTINCT user_id) FROM ev WHERE kind = 'attach') AS attached""")
+@query(f"""WITH {_RESOLVED} SELECT (SELECT count(*) FROM ev) AS slots, (SELECT count(*) FROM ev WHERE kind IN ('raw', 'commit')) AS user_slots,
+(SELECT count(DISTINCT user_id) FROM ev WHERE kind = 'attach') AS attached, (SELECT count(*) FROM pending) AS pending_jobs,
+CAST(count_if(decision = 'commit') AS BIGINT) AS to_commit, CAST(count_if(decision = 'rollback') AS BIGINT) AS to_roll_back, CAST(count_if(decision = 'fatal') AS BIGINT) AS fatal FROM resolved""")
 def volume_recover(spark, d):
+    """What a recovery finds, and what it decides for the jobs that nothing resolved."""
     rows = adapters.log(spark, d)
     user = C("kind").isin(*log.USER_KINDS)
     scan = rows.agg(F.count(F.lit(1)).alias("slots"), F.count_if(user).alias("user_slots"), F.countDistinct(F.when(C("kind") == "attach", C("user_id"))).alias("attached"))
-    waiting = jobs.pending(jobs.linked(_job_log(spark, d))).agg(F.count(F.lit(1)).alias("pending_jobs"))
-    return scan.crossJoin(F.broadcast(waiting)).select("slots", "pending_jobs", "user_slots", "attached")
+    decided = job_resolution(spark, d).agg(F.count(F.lit(1)).alias("pending_jobs"), *(F.count_if(C("decision") == x).alias(name) for x, name in (("commit", "to_commit"), ("rollback", "to_roll_back"), ("fatal", "fatal"))))
+    return scan.crossJoin(F.broadcast(decided))
+
+
+@query(f"""WITH {FRAMED}, l AS (SELECT kind, slot_lower AS lower, lead(slot_lower) OVER (PARTITION BY user_id ORDER BY seq) AS released FROM framed WHERE kind IN ('attach', 'rollback')),
+q AS (SELECT slot_lower AS "at", slot_upper AS target FROM framed WHERE kind = 'commit')
+SELECT "at", target, least(target, coalesce(min(lower), target)) AS granted FROM q LEFT JOIN (SELECT * FROM l WHERE kind = 'attach') x ON lower <= "at" AND (released IS NULL OR released > "at") GROUP BY 1, 2""")
+def trim_lock(spark, d):
+    """An attach locks the log from its slot on, up to the user's next attach or rollback; each commit asks to trim up to its end."""
+    slots = _framed(spark, d).withColumn("_back", -C("seq"))
+    turns = log.predecessor(slots.filter(C("kind").isin("attach", "rollback")), "_back", "slot_lower", "released", keys=("user_id",))
+    locks = turns.filter("kind = 'attach'").select(C("slot_lower").alias("lower"), "released")
+    return jobs.trim_grants(locks, slots.filter("kind = 'commit'").select(C("slot_lower").alias("at"), C("slot_upper").alias("target")))
 
 
 @query(f"""WITH {EV}, a AS (SELECT user_id AS client, min(seq) AS slot FROM ev WHERE kind = 'attach' GROUP BY 1)
@@ -492,6 +522,14 @@ def size_histogram(spark, d):
     return rows.groupBy((F.length(F.bin(n.cast("long"))) - 1).alias("size_log2")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {JOBS}, t AS (SELECT event_id AS seq, epoch_us(ts) AS us FROM events)
+SELECT kind, count(*) AS n, CAST(sum(b.us - a.us) AS BIGINT) AS total_us, min(b.us - a.us) AS min_us, max(b.us - a.us) AS max_us
+FROM jobs j JOIN t a ON a.seq = j.prepare_slot JOIN t b ON b.seq = j.seq WHERE kind <> 'prepare' GROUP BY 1""")
+def latency_metrics(spark, d):
+    times = adapters.table(spark, d, "events").select(C("event_id").alias("seq"), F.unix_micros(C("ts").cast("timestamp")).alias("us"))
+    return jobs.latencies(jobs.linked(_job_log(spark, d)), times)
+
+
 @query("SELECT count(*) AS n, count(DISTINCT l_partkey) AS n_pages FROM lineitem")
 def distinct(spark, d):
     pages = adapters.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))

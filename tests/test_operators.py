@@ -205,3 +205,35 @@ def test_codecs_of_nulls(spark):
     rows = spark.createDataFrame([(None, None, 1), ("000000000000f03f", "a", 2)], "code string, item string, n int")
     got = rows.select(codecs.double_from_hex("code").alias("x"), codecs.filter_hash("item", "n").alias("h")).collect()
     assert [r["x"] for r in got] == [None, 1.0] and all(r["h"] is not None for r in got)
+
+
+@pytest.mark.parametrize("open_ended", [False, True])
+def test_trim_grants_against_search(spark, open_ended):
+    r = random.Random(5)
+    lowers = r.sample(range(0, 400), 40)
+    locks = [(lo, None if open_ended and i % 10 == 0 else lo + r.randrange(0, 60)) for i, lo in enumerate(lowers)]
+    asked = [(at, at + r.randrange(-80, 30)) for at in range(0, 480, 3)]
+    want = {(at, t, min([t, *(lo for lo, end in locks if lo <= at and (end is None or end > at))])) for at, t in asked}
+    got = jobs.trim_grants(spark.createDataFrame(locks, "lower long, released long"), spark.createDataFrame([*asked, (None, 1)], "at long, target long"))
+    assert {tuple(x) for x in got.collect()} == want
+    none = spark.createDataFrame([], "lower long, released long")
+    assert {tuple(x) for x in jobs.trim_grants(none, spark.createDataFrame(asked, "at long, target long")).collect()} == {(a, t, t) for a, t in asked}
+
+
+def test_drop_pages(spark):
+    pages = spark.createDataFrame([(1, 0), (2, 3), (3, 3), (4, 1), (5, None)], "physical long, generation long")
+    drops = spark.createDataFrame([(1, 0), (1, 0), (2, 2), (3, 4), (4, None), (5, 9), (6, 0)], "physical long, generation long")
+    once = recycle.drop_pages(pages, drops)
+    assert {x["physical"] for x in once.collect()} == {2, 4, 5}
+    assert {x["physical"] for x in recycle.drop_pages(once, drops).collect()} == {2, 4, 5}
+
+
+def test_sort_segments(spark):
+    got = log.sort_segments(spark.createDataFrame([(100, 20), (0, 90), (115, 5)], "base long, n_bytes long")).collect()
+    assert [tuple(x) for x in got] == [(0, 90, 0), (100, 20, 10), (115, 5, -5)]
+
+
+def test_latencies(spark):
+    linked = spark.createDataFrame([(1, "prepare", 1), (4, "commit", 1), (6, "commit", 1), (7, "rollback", 1)], "seq long, kind string, prepare_slot long")
+    times = spark.createDataFrame([(1, 10), (4, 25), (6, 11), (7, None)], "seq long, us long")
+    assert {tuple(x) for x in jobs.latencies(linked, times).collect()} == {("commit", 2, 16, 1, 15), ("rollback", 1, None, None, None)}
